@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ def with_columns(batch: pa.RecordBatch | pa.Table, columns: dict[str, pa.Array])
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with at most about ``limit`` bytes of text, one row at least."""
-    sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes.astype(np.int64))
     start = 0
     while start < batch.num_rows:
