@@ -42,12 +42,14 @@ class Block:
         ids = table.column(doc_id).to_numpy()
         self.order = np.argsort(ids, kind="stable")
         raw = raw_texts(table.column(text))
-        self.words = [raw[i].split() for i in self.order]
-        self.sizes = np.fromiter(map(len, self.words), np.int64, len(raw))
+        self.texts = [raw[i] for i in self.order]
+        hashes = [word_hashes(t.split()) for t in self.texts]
+        self.sizes = np.fromiter(map(len, hashes), np.int64, len(raw))
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.window, ids = window, ids[self.order]
         n = int(self.sizes.sum())
-        h = np.concatenate([word_hashes(w) for w in self.words]) if n else np.empty(0, U64)
+        h = np.concatenate(hashes) if n else np.empty(0, U64)
+        del hashes
         m = max(0, n - window + 1)
         key, check, h2 = np.zeros(m, U64), np.zeros(m, U64), mixed(h)
         for k in range(window):
@@ -173,7 +175,7 @@ def _blocks(docs: DataFrame, doc_id: str, size: int, block_bytes: int) -> tuple[
     return out.withColumn("_lx_block", F.col("_lx_block").cast("long")), len(edges) - 1
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, batches: int = 3, block_bytes: int = 12 << 20, bucket_bytes: int = 8 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, batches: int = 3, block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with their repeated passages removed.
 
     A word goes if a window that covers it has a word sequence that also starts in a
@@ -212,8 +214,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, batches: int = 3, block_b
             raise ValueError("the index answered for other windows than the block has")
         gone = block.covered(known)
         kept, removed = [], []
-        for words, a, size in zip(block.words, block.starts.tolist(), block.sizes.tolist(), strict=True):
-            own = gone[a : a + size]
+        for raw, a, size in zip(block.texts, block.starts.tolist(), block.sizes.tolist(), strict=True):
+            own, words = gone[a : a + size], raw.split()
             removed.append(int(own.sum()))
             kept.append(b" ".join([w for w, g in zip(words, own.tolist(), strict=True) if not g] if removed[-1] else words))
         ordered = table.take(block.order)
