@@ -104,15 +104,15 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(from_planes(data, U64), dtype=U64)
 
 
-def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each of ``buckets`` equal ranges of the key space begins in the ascending keys; the end as well."""
-    edges = np.array([(i << 64) // buckets for i in range(buckets)], U64)
-    return np.append(np.searchsorted(keys, edges), len(keys))
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Which of ``buckets`` (below 2^32) equal ranges of the key space each key falls in."""
+    return ((keys >> U64(32)) * U64(buckets)) >> U64(32)
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    edges = np.array([(i << 64) // buckets for i in range(buckets)], U64)
-    return np.searchsorted(edges, keys, side="right") - 1
+def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins in the ascending keys; the end as well."""
+    edges = np.array([-(-(i << 32) // buckets) << 32 for i in range(buckets)], U64)
+    return np.append(np.searchsorted(keys, edges), len(keys))
 
 
 # ---------------------------------------------------------------- scratch tables
