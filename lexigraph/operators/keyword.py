@@ -15,6 +15,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.porter import tokens
 from ..store import settled
@@ -48,7 +49,7 @@ def plain_tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed_tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         yield s.map(lambda t: tokens(t or ""))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import geo_queries, graph_queries
+from .plans import geo_queries, graph_queries, search_queries
 
-MODULES = (graph_queries, geo_queries)
+MODULES = (graph_queries, geo_queries, search_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
