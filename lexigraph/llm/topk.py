@@ -123,7 +123,7 @@ def _of_dim(rows: DataFrame, dim: int, k: int, is_query, block: int, query_block
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("long"))
     queries = spark.read.parquet(write_scratch(asked.groupBy("block").applyInArrow(_pack(dim), PACKED), "queries"))
     drawn = np.array([r.q for r in rows.select("q", "id").orderBy(F.xxhash64("id")).limit(sample).collect()], np.float64)
-    rotation = np.linalg.svd(drawn, full_matrices=True)[2].T if len(drawn) >= dim else np.linalg.qr(np.random.default_rng(0).standard_normal((dim, dim)))[0]
+    rotation = np.linalg.svd(drawn, full_matrices=False)[2].T if len(drawn) >= dim else np.linalg.qr(np.random.default_rng(0).standard_normal((dim, dim)))[0]
     shared = spark.sparkContext.broadcast(rotation)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
