@@ -148,6 +148,11 @@ def write_scratch(df: DataFrame, name: str, by: str | None = None) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         p = spark._jvm.org.apache.hadoop.fs.Path(path)

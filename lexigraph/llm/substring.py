@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, bucket_bounds, drop_scratch, extended, from_planes, mixed, pack_sorted, planes, raw_texts, total_bytes, unpack_sorted, word_hashes, write_scratch
+from .common import U64, bucket_bounds, drop_scratch, exists, extended, from_planes, mixed, pack_sorted, planes, raw_texts, total_bytes, unpack_sorted, word_hashes, write_scratch
 
 HISTORY = -1
 STEP, STEP2 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
@@ -115,6 +115,13 @@ def compact_bucket(table: pa.Table) -> pa.Table:
     return pa.table({"kind": [RUN], "block": [HISTORY], "bucket": [table.column("bucket")[0].as_py()], "keys": [pack_sorted(key[by])], "checks": [planes(checks[by])]}, schema=PAYLOAD)
 
 
+def _payloads(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Stored payloads; a path that a write without rows has not made counts as empty."""
+    schema = "block long, bucket long, keys binary, checks binary"
+    there = [p for p in paths if exists(spark, p)]
+    return spark.read.schema(schema).parquet(*there) if there else spark.createDataFrame([], schema)
+
+
 class WindowIndex:
     """The index: a list of immutable runs, each a table (bucket, keys, checks)."""
 
@@ -124,7 +131,7 @@ class WindowIndex:
         self.compactions = 0
 
     def _union(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("block long, bucket long, keys binary, checks binary").parquet(*paths).withColumn("kind", F.lit(RUN))
+        return _payloads(self.spark, paths).withColumn("kind", F.lit(RUN))
 
     def add(self, blocks: DataFrame, doc_id: str, text: str, keep: bool = True) -> str:
         """Merge-joins a batch (a table with a column _lx_block) with every run.
@@ -161,14 +168,15 @@ class WindowIndex:
 
 def replies(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(_lx_block, bucket, bits, n): a bit for each of the block's keys in the bucket, in order."""
-    every = spark.read.schema("block long, bucket long, keys binary, checks binary").parquet(*paths)
-    return every.select(F.col("block").alias("_lx_block"), "bucket", F.col("keys").alias("bits"), F.col("checks").cast("string").cast("long").alias("n"))
+    return _payloads(spark, paths).select(F.col("block").alias("_lx_block"), "bucket", F.col("keys").alias("bits"), F.col("checks").cast("string").cast("long").alias("n"))
 
 
 def _blocks(docs: DataFrame, doc_id: str, size: int, block_bytes: int) -> tuple[DataFrame, int]:
     """The rows with _lx_block, a range of ascending doc_id, and the number of blocks."""
     n = max(1, -(-size // block_bytes))
     cuts = docs.agg(F.percentile_approx(doc_id, [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
+    if not cuts or n == 1:
+        return docs.withColumn("_lx_block", F.lit(0).cast("long")), 1
     edges = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")]
     split = Bucketizer(splits=edges, inputCol="_lx_key", outputCol="_lx_block", handleInvalid="keep")
     out = split.transform(docs.withColumn("_lx_key", F.col(doc_id).cast("double"))).drop("_lx_key")
