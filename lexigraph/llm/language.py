@@ -166,6 +166,8 @@ class Scorer:
         self.network, self.row, self.sums = network, {}, np.zeros((0, len(network.langs)), np.float32)
 
     def documents(self, texts: list[bytes]) -> list[tuple[str, float]]:
+        if not self.network.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
         per = [words_of(t) for t in texts]
         if len(self.row) > REMEMBERED:
             self.row, self.sums = {}, self.sums[:0]
@@ -175,7 +177,7 @@ class Scorer:
             self.sums = np.concatenate((self.sums, self.network.word_sums(new)))
         out, get = [], self.row.__getitem__
         for text, ws in zip(texts, per, strict=True):
-            if not (ws and self.network.langs and has_letter(text)):
+            if not (ws and has_letter(text)):
                 out.append((UNKNOWN, 0.0))
                 continue
             total = self.sums[np.fromiter(map(get, ws), np.int64, len(ws))].sum(0, dtype=np.float64) / sum(map(len, ws))
