@@ -108,8 +108,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
 
     n_words; n_base, the places of all phrases; first_word and last_word, their smallest and
     largest start (words from 0; null without any); base_labels, the phrases' labels, and
-    labels, those of matching templates too (both distinct, sorted, comma-joined); spans, a
-    list of (line, label, score) for every matching line; score: 1 with a phrase, else the
+    labels, those of the templates that each matching line holds most of too (both distinct,
+    sorted, comma-joined); spans, a list of (line, label, score) for every line and template
+    that match; score: 1 with a phrase, else the
     highest containment of a matching line, else 0. Words are runs of ASCII letters and
     digits and of characters beyond ASCII, A-Z lower-cased. A null text counts as empty:
     no words, no labels (''), score 0. Present columns of these names are replaced. Every
@@ -137,7 +138,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
         flat = raw.translate(TO_WORDS)
         words = flat.split()
         starts, base, spans = [], set(), []
-        seen = set(words)
+        seen, best = set(words), set()
         if any(seen.issuperset(p.split()) for p, _ in marks):
             joined = b" " + b" ".join(words) + b" "
             for phrase, label in marks:
@@ -148,9 +149,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
             for number, line in enumerate(flat.split(b"\n")):
                 own = line.split()
                 if not known.first_words.isdisjoint(own):
-                    spans += [{"line": number, "label": known.labels[k], "score": share} for k, share in known.search(own)]
+                    found = known.search(own)
+                    spans += [{"line": number, "label": known.labels[k], "score": share} for k, share in found]
+                    best |= {known.labels[k] for k, share in found if share == max(s for _, s in found)}
         score = 1.0 if starts else max((s["score"] for s in spans), default=0.0)
-        return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {s["label"] for s in spans})), spans, score
+        return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | best)), spans, score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value

@@ -123,9 +123,9 @@ ph AS (SELECT string_split(p, ' ') AS p, label FROM (VALUES {phrases}) x(p, labe
 stands AS (SELECT doc_id, label, i FROM (SELECT doc_id, ws, label, p, unnest(range(1, len(ws) - len(p) + 2)) AS i FROM w, ph WHERE list_has_all(ws, p)) WHERE ws[i:i + len(p) - 1] = p),
 base AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS b FROM stands GROUP BY doc_id),
 tp AS (SELECT list_distinct(string_split(t, ' ')) AS tokens, label FROM (VALUES {templates}) x(t, label)),
-ln AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS ws FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-m AS (SELECT doc_id, label, len(list_intersect(tokens, ws)) / len(tokens) AS share FROM ln, tp),
-hit AS (SELECT doc_id, label, share FROM m WHERE share >= 0.8),
+ln AS (SELECT doc_id, number, list_distinct(regexp_extract_all(line, '{word}')) AS ws FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS number FROM d)),
+m AS (SELECT doc_id, number, label, len(list_intersect(tokens, ws)) / len(tokens) AS share FROM ln, tp),
+hit AS (SELECT doc_id, label, share FROM m WHERE share >= 0.8 QUALIFY share = max(share) OVER (PARTITION BY doc_id, number)),
 lab AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM hit UNION SELECT doc_id, label FROM stands) GROUP BY doc_id),
 bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT doc_id, label FROM stands) GROUP BY doc_id),
 best AS (SELECT doc_id, max(share) AS share FROM hit GROUP BY doc_id)
