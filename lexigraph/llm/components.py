@@ -31,7 +31,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) edges to (node, root): root is the smallest node of the component.
 
-    Nodes without an edge don't appear. Self-loops, repeated edges and nulls are ignored.
+    Nodes without an edge and the roots themselves have no row. Self-loops, repeated edges and nulls are ignored.
     Raises if the graph hasn't settled after ``max_rounds`` rounds (the rounds needed grow
     with the logarithm of the longest chain).
     """
