@@ -183,7 +183,7 @@ def _blocks(docs: DataFrame, doc_id: str, size: int, block_bytes: int) -> tuple[
     return out.withColumn("_lx_block", F.col("_lx_block").cast("long")), len(edges) - 1
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, batches: int = 3, block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, batches: int = 3, block_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with their repeated passages removed.
 
     A word goes if a window that covers it has a word sequence that also starts in a
