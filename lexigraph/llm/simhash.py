@@ -77,13 +77,14 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint's 64 bits as a signed long.
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, doc_id: str = "doc_id", text: str = "text", second: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row: the fingerprint's 64 bits as a signed long; fp2 as well if ``second``.
 
-    A-Z are lower-cased; words are runs outside ASCII white space. A text without words
+    The second fingerprint comes from the same hashes after a mixing step; it only helps the wide
+    search, where a pair that the first one puts far apart by chance gets a second one. A-Z are lower-cased; words are runs outside ASCII white space. A text without words
     (null, empty, blank) has fingerprint 0.
     """
-    kind = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    names = ["doc_id", "fp", "fp2"][: 3 if second else 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -91,9 +92,10 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, doc_id: str
                 per = [shingle_hashes(r.lower().split(), shingle, seed) for r in raw_texts(batch.column(text))]
                 sizes = np.fromiter(map(len, per), np.int64, len(per))
                 flat = np.fromiter((h for hs in per for h in hs), U64, int(sizes.sum()))
-                yield pa.RecordBatch.from_arrays([batch.column(doc_id), pa.array(majority(flat, sizes).view(np.int64))], schema=kind)
+                each = [flat, mixed(flat)] if second else [flat]
+                yield pa.RecordBatch.from_arrays([batch.column(doc_id), *[pa.array(majority(h, sizes).view(np.int64)) for h in each]], names=names)
 
-    return docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(text).cast("string").alias(text)).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(text).cast("string").alias(text)).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 # ---------------------------------------------------------------- vantage-point trees
@@ -244,19 +246,132 @@ def links(points: DataFrame, radius: int = 4, bands: int | None = None, leaf: in
     return spread.groupBy("shard", "i", "j").applyInArrow(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, doc_id: str = "doc_id", text: str = "text", bands: int | None = None) -> DataFrame:
+# ---------------------------------------------------------------- the wide search
+
+
+def tree_edges(fps: np.ndarray, wide: int) -> np.ndarray:
+    """(row, row, distance) of a shortest spanning forest over pairs within ``wide`` bits (Prim).
+
+    Copies are nearest to what they were copied from, so the forest holds the links that
+    matter, and never more than one a row, however large the group.
+    """
+    out: list[tuple[int, int, int]] = []
+    open_ = np.ones(len(fps), bool)
+    best, parent = np.full(len(fps), 127, np.int64), np.full(len(fps), -1, np.int64)
+    for _ in range(len(fps)):
+        near = np.where(open_, best, 128)
+        x = int(near.argmin())
+        if near[x] <= wide:
+            out.append((x, int(parent[x]), int(near[x])))
+        open_[x] = False
+        d = np.bitwise_count(fps ^ fps[x]).astype(np.int64)
+        closer = open_ & (d <= wide) & (d < best)
+        best[closer], parent[closer] = d[closer], x
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def bucket_edges(fps: np.ndarray, wide: int) -> np.ndarray:
+    """``tree_edges`` over the rows that have any partner; most buckets have none, which one comparison shows."""
+    if len(fps) <= 1024:
+        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= wide
+        rows = np.flatnonzero(near.sum(1) > 1)
+        if not len(rows):
+            return np.empty((0, 3), np.int64)
+        found = tree_edges(fps[rows], wide)
+        found[:, :2] = rows[found[:, :2]]
+        return found
+    return tree_edges(fps, wide)
+
+
+def wide_links(points: DataFrame, wide: int = 16, trees: int = 32, bucket: int = 48, shard: int = 2048, block: int = 4096) -> DataFrame:
+    """(a, b) candidate links of points (fp, fp2, rep) within ``wide`` bits, for an exact check to follow.
+
+    Each of ``trees`` trees, by turns over the first and the second fingerprint, partitions the fingerprints by Hamming distance over its own
+    random bits, about log2(n / bucket) of them, down to equal bits (radius 0, so nothing is
+    copied across boundaries): a pair d bits apart meets in one tree with probability
+    (1 - d / 64)^bits, and is missed only if it meets in none. Shards over ``block`` rows are
+    cut into pairs of blocks, as in ``links``.
+    """
+    spark = points.sparkSession
+    n = points.count()
+    bits = int(np.clip(np.ceil(np.log2(max(1, n / bucket))), 4, 32))
+    rng = np.random.default_rng(64)
+    chosen = [U64(sum(1 << int(b) for b in rng.choice(BITS, bits, replace=False))) for _ in range(trees)]
+    parts = max(1, -(-n // shard))
+    kind = pa.schema([("shard", pa.int64()), ("fp", pa.int64()), ("rep", pa.int64())])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, mask in enumerate(chosen):
+                fp = batch.column(("fp", "fp2")[i % 2])
+                at = (mixed(fp.to_numpy().view(U64) & mask) % U64(parts)).astype(np.int64) + (i << 32)
+                yield pa.RecordBatch.from_arrays([pa.array(at), fp, batch.column("rep")], schema=kind)
+
+    routed = points.mapInArrow(route, "shard long, fp long, rep long")
+    sizes = routed.groupBy("shard").count().where(F.col("count") > block)
+    spread = routed.join(sizes.select("shard", F.ceil(F.col("count") / block).cast("int").alias("g")), "shard", "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    spread = spread.withColumn("k", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    spread = spread.select("shard", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "fp", "rep")
+
+    def search(key: tuple, table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("rep").to_numpy(), kind="stable")
+        fp, rep = table.column("fp").to_numpy()[order].view(U64), table.column("rep").to_numpy()[order]
+        masked = fp & chosen[key[0].as_py() >> 32]
+        by = np.argsort(masked, kind="stable")
+        cuts = np.flatnonzero(np.diff(masked[by])) + 1
+        a, b = [], []
+        for rows in np.split(by, cuts):
+            if len(rows) > 1:
+                found = rows[bucket_edges(fp[rows], wide)[:, :2]]
+                a.append(rep[found[:, 0]])
+                b.append(rep[found[:, 1]])
+        join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+        return pa.table({"a": np.maximum(join(a), join(b)), "b": np.minimum(join(a), join(b))})
+
+    return spread.groupBy("shard", "i", "j").applyInArrow(search, "a long, b long").distinct()
+
+
+def similar_enough(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int, seed: int, doc_id: str, text: str) -> DataFrame:
+    """Of the (a, b) pairs of doc_ids those whose shingle sets have that Jaccard similarity; exact but for the hash."""
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    known = texts.join(involved, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    known = known.sparkSession.read.parquet(write_scratch(known, "texts"))
+    both = pairs.join(known.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(known.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = lambda column: [set(shingle_hashes(r.lower().split(), shingle, seed)) for r in raw_texts(column)]
+        for whole in batches:
+            for batch in slices(whole, "ta"):
+                good = [bool(x) and len(x & y) >= similarity * len(x | y) for x, y in zip(sets(batch.column("ta")), sets(batch.column("tb")), strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+# ---------------------------------------------------------------- the operator
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, doc_id: str = "doc_id", text: str = "text", bands: int | None = None, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every row.
 
     component_id is the smallest doc_id reachable over links of fingerprints that differ in
-    at most ``radius`` bits, the row's own included. Repeated rows each come back. Rows
-    with a null doc_id come back with component_id null and link nothing. An empty table
-    gives an empty result.
+    at most ``radius`` bits, the row's own included. With ``similarity``, texts whose
+    fingerprints lie further apart are linked too if their shingle sets have that Jaccard
+    similarity: candidates come from ``wide_links``, and every one is checked on its whole
+    text. Repeated rows each come back. Rows with a null doc_id come back with component_id
+    null and link nothing. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    base = spark.read.parquet(write_scratch(fingerprints(docs, shingle, seed, doc_id, text), "fp"))
-    points = base.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    base = spark.read.parquet(write_scratch(fingerprints(docs, shingle, seed, doc_id, text, similarity is not None), "fp"))
+    best = [F.min("doc_id").alias("rep")] + ([F.min_by("fp2", "doc_id").alias("fp2")] if similarity is not None else [])
+    points = base.where("doc_id is not null").groupBy("fp").agg(*best)
     points = spark.read.parquet(write_scratch(points, "points"))
-    roots = components(links(points, radius, bands))
-    named = points.join(roots, points.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    edges = links(points.select("fp", "rep"), radius, bands)
+    if similarity is not None:
+        wide = spark.read.parquet(write_scratch(wide_links(points), "wide"))
+        edges = edges.unionByName(similar_enough(docs, wide, similarity, shingle, seed, doc_id, text))
+    roots = components(edges)
+    named = points.select("fp", "rep").join(roots, points.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     out = base.join(named, "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
