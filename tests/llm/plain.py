@@ -48,8 +48,13 @@ def fingerprint(text, size=4, seed=42):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def groups(ids, fps, radius=4):
-    """{id: smallest id reachable} by comparing all pairs."""
+def shingles(text, size=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def groups(ids, fps, radius=4, sets=None, similarity=None):
+    """{id: smallest id reachable} by comparing all pairs of fingerprints, and of shingle sets if given."""
     root = {i: i for i in ids}
 
     def find(x):
@@ -59,7 +64,8 @@ def groups(ids, fps, radius=4):
 
     for a in range(len(ids)):
         for b in range(a):
-            if (fps[a] ^ fps[b]).bit_count() <= radius:
+            alike = similarity and sets[a] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])
+            if alike or (fps[a] ^ fps[b]).bit_count() <= radius:
                 x, y = find(ids[a]), find(ids[b])
                 if x != y:
                     root[max(x, y)] = min(x, y)

@@ -293,6 +293,33 @@ def test_links_against_all_pairs(spark, bands, leaf, block):
     assert {i: got.get(i, i) for i in range(len(fps))} == want
 
 
+def test_wide_search_finds_edited_copies(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, rng.integers(60, 300)))) for i in range(300)]
+    for i in range(120):
+        words = rows[i % 60][1].split()
+        for _ in range(max(1, len(words) // 70)):
+            words[rng.integers(0, len(words))] = f"edit{rng.integers(0, 10**6)}"
+        rows.append((1000 + i, " ".join(words)))
+    sets, fps = [plain.shingles(t) for _, t in rows], [plain.fingerprint(t, 5) for _, t in rows]
+    want = plain.groups([i for i, _ in rows], fps, sets=sets, similarity=0.8)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, similarity=0.8).collect()}
+    copies = [i for i in want if want[i] != i]
+    assert len(copies) > 100 and np.mean([got[i] != i for i in copies]) >= 0.95
+    assert all(want[i] != i for i in got if got[i] != i)
+
+
+def test_shortest_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 64, 12, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 12, dtype=np.uint64)) for _ in range(9)]))
+    edges = simhash.bucket_edges(fps, 3)
+    assert len(edges) < len(fps) and all(int(fps[a] ^ fps[b]).bit_count() == d <= 3 for a, b, d in edges)
+    root = simhash.spanning(len(fps), iter([(edges[:, 0], edges[:, 1])]))
+    want = plain.groups(list(range(len(fps))), [int(f) for f in fps], 3)
+    assert {i: int(r) for i, r in enumerate(root)} == want
+
+
 def test_majority_counts_many_shingles():
     rng = np.random.default_rng(3)
     sizes = np.array([0, 1, 2, 255, 256, 700, 0, 3])

@@ -18,7 +18,7 @@ def test_pipeline(spark):
     model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), common.fold("doc_id", 5) != 0)
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     rows = [(i, t) for i, t in rows if model.score((t or "").encode()) >= 0.3]
-    root = plain.groups([i for i, _ in rows], [plain.fingerprint(t, 5) for _, t in rows])
+    root = plain.groups([i for i, _ in rows], [plain.fingerprint(t, 5) for _, t in rows], sets=[plain.shingles(t) for _, t in rows], similarity=0.8)
     rows = [(i, t) for i, t in rows if root[i] == i]
     cut = plain.substring(rows)
     rows = [(i, cut[n][2]) for n, (i, _) in enumerate(rows)]
