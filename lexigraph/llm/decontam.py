@@ -9,7 +9,9 @@
 3. A second pass joins the documents to the items over the seeds: a seed at word p of a
    document and word q of an item starts an alignment of the item with the words around
    p - q. The score is the best local alignment (match 2, mismatch -1, gap -1 a word) as a
-   share of the item's highest possible score.
+   share of the item's highest possible score. A document holds an item if the score reaches
+   the threshold, or if the alignment is worth ``passage`` words copied in a row: a part of a
+   long item counts as well.
 
 Items are taken in blocks of bounded size, each broadcast on its own; the corpus is never
 shuffled or collected, and every hit of every document is aligned.
@@ -102,7 +104,7 @@ def stretches(hits: list[tuple[int, int]], length: int, total: int) -> list[tupl
     return out
 
 
-def match(items: Items, raw: bytes, threshold: float) -> list[tuple[int, float, int, int]]:
+def match(items: Items, raw: bytes, threshold: float, passage: int) -> list[tuple[int, float, int, int]]:
     """(item_id, score, first word, end word) of each item that the text holds."""
     words = np.fromiter(map(items.vocab.get, ws := words_of(raw), repeat(0)), np.int64, len(ws))
     hits: dict[int, list[tuple[int, int]]] = {}
@@ -113,7 +115,7 @@ def match(items: Items, raw: bytes, threshold: float) -> list[tuple[int, float,
     for k, at in hits.items():
         item = items.words[k]
         found = max((align(item, words[a:b]) / (MATCH * len(item)), -a, -b) for a, b in stretches(at, len(item), len(words)))
-        if found[0] >= threshold:
+        if found[0] >= min(threshold, passage / len(item)):
             out.append((items.ids[k], found[0], -found[1], -found[2]))
     return out
 
@@ -144,10 +146,11 @@ def seeded_items(docs: DataFrame, benchmark: DataFrame, n: int, span: int, text:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, span: int = 4, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, span: int = 4, threshold: float = 0.5, passage: int = 13, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word): items that documents hold, whole or edited.
 
-    One row for each row of ``docs`` and item with score >= threshold (0 to 1); the words
+    One row for each row of ``docs`` and item that it holds by ``threshold`` or ``passage`` (see
+    above), with the score from 0 to 1; the words
     are those of the aligned stretch of the document. A null or empty text holds nothing, a
     null item or one without words is held nowhere, and null ids are carried along. Items
     shorter than ``n`` words are sought as one whole gram. Repeated rows come back each;
@@ -161,7 +164,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, span: int =
         def search(batches: Iterator[pa.RecordBatch], seeded=seeded) -> Iterator[pa.RecordBatch]:
             items = seeded.value
             for batch in batches:
-                rows = [(d, *m) for d, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch.column("text")), strict=True) for m in match(items, raw, threshold)]
+                rows = [(d, *m) for d, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch.column("text")), strict=True) for m in match(items, raw, threshold, passage)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(kind)], schema=kind)
 
         found = texts.mapInArrow(search, "doc_id long, item_id long, score double, first_word long, end_word long")
@@ -169,14 +172,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, span: int =
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 3, span: int = 4, threshold: float = 0.5, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 3, span: int = 4, threshold: float = 0.5, passage: int = 13, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item (see ``contamination``), in their partitions; nothing is shuffled."""
     for seeded in seeded_items(docs, benchmark, n, span, text, item_id, item_text):
 
         def clean(batches: Iterator[pa.RecordBatch], seeded=seeded) -> Iterator[pa.RecordBatch]:
             items = seeded.value
             for batch in batches:
-                yield batch.filter(pa.array([not match(items, raw, threshold) for raw in raw_texts(batch.column(text))], pa.bool_()))
+                yield batch.filter(pa.array([not match(items, raw, threshold, passage) for raw in raw_texts(batch.column(text))], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
