@@ -73,17 +73,18 @@ def test_decontamination(spark, odd, empty):
     item = "the quick brown fox jumps over the lazy dog while seven wizards brew strong coffee near the old harbour gate"
     w = item.split()
     edited = " ".join(x for i, x in enumerate(w) if i not in (4, 11)).replace("wizards", "sorcerers")
+    long = " ".join(f"long{i}" for i in range(90))
     filler = "lorem ipsum dolor sit amet " * 40
-    rows = [(1, filler + item.upper() + " " + filler), (2, filler + edited), (3, filler), (4, " ".join(w[6:11])), (5, None), (6, ""), (None, item), (1, item), (7, "Quick, BROWN; fox -- " + item.replace(" ", "\n") + "!"), (8, " ".join(reversed(w)))]
+    rows = [(1, filler + item.upper() + " " + filler), (2, filler + edited), (3, filler), (4, " ".join(w[6:11])), (5, None), (6, ""), (None, item), (1, item), (7, "Quick, BROWN; fox -- " + item.replace(" ", "\n") + "!"), (8, " ".join(reversed(w))), (9, filler + " ".join(long.split()[30:44]) + " " + filler), (10, filler + " ".join(long.split()[30:38]) + " " + filler)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    bench = spark.createDataFrame([(50, item), (51, None), (52, ""), (53, "two words"), (50, item)], "item_id long, text string")
+    bench = spark.createDataFrame([(50, item), (51, None), (52, ""), (53, "two words"), (50, item), (54, long)], "item_id long, text string")
     got = decontam.contamination(d, bench).collect()
-    assert sorted((r.doc_id or 0, r.item_id) for r in got) == [(0, 50), (1, 50), (1, 50), (2, 50), (7, 50)]
+    assert sorted((r.doc_id or 0, r.item_id) for r in got) == [(0, 50), (1, 50), (1, 50), (2, 50), (7, 50), (9, 54)]
     for r in got:
-        text = next(t for i, t in rows if i == r.doc_id and (r.doc_id != 1 or True))
-        assert r.score <= plain.alignment(decontam.words_of(item.encode()), decontam.words_of(text.encode())) + 1e-9 or r.doc_id == 1
+        best = max(plain.alignment(decontam.words_of({50: item, 54: long}[r.item_id].encode()), decontam.words_of(t.encode())) for i, t in rows if i == r.doc_id)
+        assert r.score <= best + 1e-9
     assert [r.score for r in got if r.doc_id == 2][0] == pytest.approx(plain.alignment(w, edited.split()), abs=0.05)
-    assert sorted(r.doc_id for r in decontam.decontaminate(d, bench).collect()) == [3, 4, 5, 6, 8]
+    assert sorted(r.doc_id for r in decontam.decontaminate(d, bench).collect()) == [3, 4, 5, 6, 8, 10]
     assert decontam.contamination(odd, bench).count() == 0 and decontam.decontaminate(odd, bench).count() == len(ODD)
     assert decontam.contamination(empty, bench).count() == 0 and decontam.contamination(d, bench.limit(0)).count() == 0
 
@@ -101,7 +102,7 @@ def test_every_whole_copy_is_found(spark, docs):
     items = [(i, decontam.words_of(t.encode())) for i, t in ((r.item_id, r.text) for r in bench.collect())]
     texts = {i: b" " + b" ".join(decontam.words_of((t or "").encode())) + b" " for i, t in pairs(docs)}
     assert got >= {(d, i) for d, t in texts.items() for i, w in items if b" " + b" ".join(w) + b" " in t}
-    wrong = [(d, i) for d, i in got if plain.alignment(dict(items)[i], texts[d].split()) < 0.5]
+    wrong = [(d, i) for d, i in got if plain.alignment(dict(items)[i], texts[d].split()) < min(0.5, 13 / len(dict(items)[i]))]
     assert not wrong
 
 

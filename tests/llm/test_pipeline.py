@@ -27,7 +27,7 @@ def test_pipeline(spark):
     for i, t in rows:
         w = decontam.words_of(t.encode())
         held = set(w)
-        if all(len(held & set(item)) < 0.4 * len(set(item)) or plain.alignment(item, w) < 0.5 for item in items):
+        if all(len(held & set(item)) < 5 or plain.alignment(item, w) < min(0.5, 13 / len(item)) for item in items):
             clean.append((i, t))
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {i: (t, len(t), library.encode(t, add_special_tokens=False).ids) for i, t in clean}
