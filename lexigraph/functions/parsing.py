@@ -77,6 +77,15 @@ def format_distance(km: float) -> str:
     return f"{km * 1000:.0f} m" if km < 1 else f"{km:.1f} km" if km < 100 else f"{km:,.0f} km"
 
 
+def format_radius(km: float) -> str:
+    return f"{km * 1000:.0f} m" if km < 1 else f"{km:,.10g} km"
+
+
+def format_score(score: float, metric: str) -> str:
+    """Links as a whole number; shares of a rank in millionths."""
+    return f"{score:,.0f}" if metric == "indegree" else f"{score * 1e6:,.1f}"
+
+
 def format_coords(lat: float, lon: float) -> str:
     return f"{abs(lat):.4f}° {'N' if lat >= 0 else 'S'}, {abs(lon):.4f}° {'E' if lon >= 0 else 'W'}"
 

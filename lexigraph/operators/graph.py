@@ -139,6 +139,26 @@ def top_neighbours(edges: DataFrame, ranks: DataFrame, n: int = 5, side: str = "
     return joined.withColumn("place", place).where(F.col("place") <= n).select("idx", "neighbour", "rank", "place")
 
 
+def default_metric(metrics: DataFrame, nodes: int) -> str:
+    """'prose' if it is there for every node, else 'pagerank'. ``metrics``: (idx, metric, score, rank)."""
+    return "prose" if metrics.where("metric = 'prose'").count() == nodes else "pagerank"
+
+
+def leaderboard(metrics: DataFrame, nodes: DataFrame, edges: DataFrame, metric: str, n: int = 50, skip: int = 0) -> DataFrame:
+    """Ranks skip+1 to skip+n of a metric: title, score, degrees in ``edges``, and a rank_<metric> for every metric.
+
+    The page's nodes are few, so degrees are counted for them alone.
+    """
+    page = metrics.where((F.col("metric") == metric) & (F.col("rank") > skip) & (F.col("rank") <= skip + n)).select("idx", "score", "rank")
+    names = sorted(r.metric for r in metrics.select("metric").distinct().collect())
+    ranks = metrics.join(F.broadcast(page.select("idx")), "idx", "left_semi").groupBy("idx").pivot("metric", names).agg(F.first("rank"))
+    out = page.join(nodes.select("idx", "title"), "idx").join(ranks.select("idx", *[F.col(m).alias(f"rank_{m}") for m in names]), "idx")
+    for name, side in (("out_degree", "src"), ("in_degree", "dst")):
+        own = edges.join(F.broadcast(page.select(F.col("idx").alias(side))), side, "left_semi").groupBy(F.col(side).alias("idx")).agg(F.count(F.lit(1)).alias(name))
+        out = out.join(own, "idx", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
 def profile(nodes: DataFrame, ranks: dict[str, DataFrame], edges: DataFrame, idx: int, best: str, n: int = 5) -> dict:
     """Ranks, percentiles and scores of one node by every metric, its degrees, and its best neighbours both ways.
 

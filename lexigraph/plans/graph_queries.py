@@ -89,6 +89,13 @@ def leaderboard_window(spark, d):
     return ranks.join(tables.nodes(spark, d).select("idx", "title"), "idx").select("idx", "title", "degree", "rank")
 
 
+def leaderboard_all_ranks(spark, d):
+    """The twenty best by links in, with their place by links out and both degrees."""
+    nodes, edges = tables.nodes(spark, d), tables.edges(spark, d)
+    parts = [graph.rank_by(graph.degrees(nodes, edges, side), "degree").select("idx", F.lit(name).alias("metric"), F.col("degree").cast("double").alias("score"), "rank") for name, side in (("indegree", "dst"), ("outdegree", "src"))]
+    return graph.leaderboard(parts[0].unionByName(parts[1]), nodes, edges, "indegree", 20)
+
+
 def csr_indptr(spark, d):
     """Where each node's links out begin and end in an edge list sorted by source."""
     ends = ranking.running_sum(graph.degrees(tables.nodes(spark, d), tables.edges(spark, d), "src"), "degree", "idx", name="end")
@@ -194,7 +201,7 @@ known AS (SELECT lt_id, idx FROM lt JOIN (SELECT title, idx FROM art UNION ALL S
 _RATIO = f"pool AS (SELECT inr.idx, inr.rank AS in_rank, outr.rank AS out_rank FROM inr JOIN outr USING (idx) WHERE inr.rank <= {TOP} OR outr.rank <= {TOP})"
 _UP = "SELECT idx, in_rank, out_rank, round(ln(out_rank / in_rank), 6) AS ratio FROM pool ORDER BY ln(out_rank / in_rank) {}, idx LIMIT " + str(FEW)
 
-QUERIES = {f.__name__: f for f in (out_degree, in_degree, degree_leaderboard, popularity_rank, percentile, distinct_edges, edge_overlap_share, top_neighbours, union_top_candidates, surprises_up, surprises_down, leaderboard_window, csr_indptr, redirect_resolve, linktarget_resolve, red_links, link_graph, pagerank_5_iters, reverse_pagerank_5_iters, prose_pagerank_5_iters, bfs_levels_from_seed, shortest_path_length, neighbours)}
+QUERIES = {f.__name__: f for f in (out_degree, in_degree, degree_leaderboard, popularity_rank, percentile, distinct_edges, edge_overlap_share, top_neighbours, union_top_candidates, surprises_up, surprises_down, leaderboard_window, leaderboard_all_ranks, csr_indptr, redirect_resolve, linktarget_resolve, red_links, link_graph, pagerank_5_iters, reverse_pagerank_5_iters, prose_pagerank_5_iters, bfs_levels_from_seed, shortest_path_length, neighbours)}
 SQL = {
     "out_degree": f"{BASE} SELECT idx, degree FROM outd",
     "in_degree": f"{BASE} SELECT idx, degree FROM ind",
@@ -208,6 +215,7 @@ SQL = {
     "surprises_up": f"{BASE}, {_RATIO} {_UP.format('DESC')}",
     "surprises_down": f"{BASE}, {_RATIO} {_UP.format('ASC')}",
     "leaderboard_window": f"{BASE} SELECT idx, title, degree, rank FROM inr JOIN nodes USING (idx) WHERE rank > 100 AND rank <= 150",
+    "leaderboard_all_ranks": f"{BASE} SELECT inr.idx, inr.degree::DOUBLE AS score, inr.rank, title, inr.rank AS rank_indegree, outr.rank AS rank_outdegree, outd.degree AS out_degree, inr.degree AS in_degree FROM inr JOIN nodes USING (idx) JOIN outr USING (idx) JOIN outd USING (idx) WHERE inr.rank <= 20",
     "csr_indptr": f"""{BASE} SELECT idx, ("end" - degree)::BIGINT AS start, "end"::BIGINT AS "end" FROM (SELECT idx, degree, sum(degree) OVER (ORDER BY idx) AS "end" FROM outd)""",
     "redirect_resolve": f"WITH RECURSIVE {PAGES} SELECT page_id, title, target FROM red",
     "linktarget_resolve": f"WITH RECURSIVE {PAGES} SELECT lt_id, idx FROM known",
