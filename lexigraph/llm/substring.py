@@ -171,16 +171,35 @@ def replies(spark: SparkSession, paths: list[str]) -> DataFrame:
     return _payloads(spark, paths).select(F.col("block").alias("_lx_block"), "bucket", F.col("keys").alias("bits"), F.col("checks").cast("string").cast("long").alias("n"))
 
 
-def _blocks(docs: DataFrame, doc_id: str, size: int, block_bytes: int) -> tuple[DataFrame, int]:
-    """The rows with _lx_block, a range of ascending doc_id, and the number of blocks."""
+def _blocks(docs: DataFrame, doc_id: str, text: str, size: int, block_bytes: int, ranges: int = 4096) -> tuple[DataFrame, int]:
+    """The rows with _lx_block, ascending with doc_id, and the number of blocks.
+
+    Up to ``ranges`` ranges of ids end at quantiles. If more blocks are needed, each range is
+    cut evenly by id into as many as its text needs, so the driver never holds more than a
+    few thousand edges.
+    """
     n = max(1, -(-size // block_bytes))
-    cuts = docs.agg(F.percentile_approx(doc_id, [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
+    k = min(n, ranges)
+    cuts = docs.agg(F.percentile_approx(doc_id, [i / k for i in range(1, k)] or [0.5], 100 * k)).first()[0] or []
     if not cuts or n == 1:
         return docs.withColumn("_lx_block", F.lit(0).cast("long")), 1
     edges = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")]
-    split = Bucketizer(splits=edges, inputCol="_lx_key", outputCol="_lx_block", handleInvalid="keep")
-    out = split.transform(docs.withColumn("_lx_key", F.col(doc_id).cast("double"))).drop("_lx_key")
-    return out.withColumn("_lx_block", F.col("_lx_block").cast("long")), len(edges) - 1
+    split = Bucketizer(splits=edges, inputCol="_lx_key", outputCol="_lx_range", handleInvalid="keep")
+    out = split.transform(docs.withColumn("_lx_key", F.col(doc_id).cast("double"))).withColumn("_lx_range", F.col("_lx_range").cast("int"))
+    if n <= ranges:
+        return out.withColumn("_lx_block", F.col("_lx_range").cast("long")).drop("_lx_key", "_lx_range"), len(edges) - 1
+    held = {r["_lx_range"]: r for r in out.groupBy("_lx_range").agg(F.min("_lx_key").alias("low"), F.max("_lx_key").alias("high"), F.sum(F.octet_length(text)).alias("bytes")).collect()}
+    low, wide, parts, first, at = [], [], [], [], 0
+    for r in range(len(edges) - 1):
+        x = held.get(r)
+        low.append(x.low if x else 0.0)
+        wide.append((x.high - x.low) if x and x.high > x.low else 1.0)
+        parts.append(max(1, -(-(x.bytes or 0) // block_bytes)) if x else 1)
+        first.append(at)
+        at += parts[-1]
+    of = lambda values: F.element_at(F.lit(values), F.col("_lx_range") + 1)
+    inside = F.least(F.floor((F.col("_lx_key") - of(low)) / of(wide) * of(parts)), of(parts) - 1)
+    return out.withColumn("_lx_block", (of(first) + inside).cast("long")).drop("_lx_key", "_lx_range"), at
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, batches: int = 3, block_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,7 +219,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, batches: int = 3, block_b
     names = [f.name for f in schema.fields]
     last = F.lit(2**63 - 1)
     inner = docs.withColumn("_lx_id", F.coalesce(F.col(doc_id).cast("long"), last))
-    blocks, n = _blocks(inner, "_lx_id", size, block_bytes)
+    blocks, n = _blocks(inner, "_lx_id", text, size, block_bytes)
     index = WindowIndex(spark, max(1, -(-size // bucket_bytes)), window)
     edges = [n * i // batches for i in range(batches + 1)]
     steps = [(a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b]
