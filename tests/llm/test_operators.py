@@ -169,6 +169,14 @@ def test_substring_dedup_of_documents(docs, empty):
     assert substring.substring_dedup(empty).count() == 0
 
 
+def test_blocks_beyond_the_ranges_keep_the_order(spark):
+    rows = [(i * i, "x" * (10 + i % 7)) for i in range(400)] + [(2**63 - 1, "last")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out, n = substring._blocks(d, "doc_id", "text", 6000, 100, ranges=5)
+    got = [r["_lx_block"] for r in out.orderBy("doc_id").collect()]
+    assert got == sorted(got) and len(set(got)) > 20 and 0 <= got[0] and got[-1] == max(got) < n
+
+
 def test_index_is_incremental_and_compacts(spark, docs):
     index = substring.WindowIndex(spark, 3)
     d = docs.select(F.col("doc_id").alias("_lx_id"), "text").withColumn("_lx_block", F.floor(F.col("_lx_id") / 20))
