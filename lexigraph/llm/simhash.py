@@ -252,19 +252,20 @@ def links(points: DataFrame, radius: int = 4, bands: int | None = None, leaf: in
 def tree_edges(fps: np.ndarray, wide: int) -> np.ndarray:
     """(row, row, distance) of a shortest spanning forest over pairs within ``wide`` bits (Prim).
 
-    Copies are nearest to what they were copied from, so the forest holds the links that
-    matter, and never more than one a row, however large the group.
+    ``fps``: a row of 64-bit words each; distances add up over the words. Copies are nearest
+    to what they were copied from, so the forest holds the links that matter, and never more
+    than one a row, however large the group.
     """
     out: list[tuple[int, int, int]] = []
     open_ = np.ones(len(fps), bool)
-    best, parent = np.full(len(fps), 127, np.int64), np.full(len(fps), -1, np.int64)
+    best, parent = np.full(len(fps), 999, np.int64), np.full(len(fps), -1, np.int64)
     for _ in range(len(fps)):
-        near = np.where(open_, best, 128)
+        near = np.where(open_, best, 1000)
         x = int(near.argmin())
         if near[x] <= wide:
             out.append((x, int(parent[x]), int(near[x])))
         open_[x] = False
-        d = np.bitwise_count(fps ^ fps[x]).astype(np.int64)
+        d = np.bitwise_count(fps ^ fps[x]).sum(1, dtype=np.int64)
         closer = open_ & (d <= wide) & (d < best)
         best[closer], parent[closer] = d[closer], x
     return np.array(out, np.int64).reshape(-1, 3)
@@ -272,8 +273,8 @@ def tree_edges(fps: np.ndarray, wide: int) -> np.ndarray:
 
 def bucket_edges(fps: np.ndarray, wide: int) -> np.ndarray:
     """``tree_edges`` over the rows that have any partner; most buckets have none, which one comparison shows."""
-    if len(fps) <= 1024:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= wide
+    if len(fps) <= 512:
+        near = sum(np.bitwise_count(w[:, None] ^ w[None, :]) for w in fps.T) <= wide
         rows = np.flatnonzero(near.sum(1) > 1)
         if not len(rows):
             return np.empty((0, 3), np.int64)
@@ -283,13 +284,13 @@ def bucket_edges(fps: np.ndarray, wide: int) -> np.ndarray:
     return tree_edges(fps, wide)
 
 
-def wide_links(points: DataFrame, wide: int = 16, trees: int = 32, bucket: int = 48, shard: int = 2048, block: int = 4096) -> DataFrame:
-    """(a, b) candidate links of points (fp, fp2, rep) within ``wide`` bits, for an exact check to follow.
+def wide_links(points: DataFrame, wide: int = 26, trees: int = 32, bucket: int = 48, shard: int = 2048, block: int = 4096) -> DataFrame:
+    """(a, b) candidate links of points (fp, fp2, rep) within ``wide`` of both fingerprints' 128 bits, for an exact check to follow.
 
     Each of ``trees`` trees, by turns over the first and the second fingerprint, partitions the fingerprints by Hamming distance over its own
     random bits, about log2(n / bucket) of them, down to equal bits (radius 0, so nothing is
-    copied across boundaries): a pair d bits apart meets in one tree with probability
-    (1 - d / 64)^bits, and is missed only if it meets in none. Shards over ``block`` rows are
+    copied across boundaries): a pair that d bits of a fingerprint set apart meets in one
+    tree with probability (1 - d / 64)^bits, and is missed only if it meets in none. Shards over ``block`` rows are
     cut into pairs of blocks, as in ``links``.
     """
     spark = points.sparkSession
@@ -298,31 +299,32 @@ def wide_links(points: DataFrame, wide: int = 16, trees: int = 32, bucket: int =
     rng = np.random.default_rng(64)
     chosen = [U64(sum(1 << int(b) for b in rng.choice(BITS, bits, replace=False))) for _ in range(trees)]
     parts = max(1, -(-n // shard))
-    kind = pa.schema([("shard", pa.int64()), ("fp", pa.int64()), ("rep", pa.int64())])
+    names = ["shard", "fp", "fp2", "rep"]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, mask in enumerate(chosen):
-                fp = batch.column(("fp", "fp2")[i % 2])
-                at = (mixed(fp.to_numpy().view(U64) & mask) % U64(parts)).astype(np.int64) + (i << 32)
-                yield pa.RecordBatch.from_arrays([pa.array(at), fp, batch.column("rep")], schema=kind)
+                fp = batch.column(("fp", "fp2")[i % 2]).to_numpy().view(U64)
+                at = (mixed(fp & mask) % U64(parts)).astype(np.int64) + (i << 32)
+                yield pa.RecordBatch.from_arrays([pa.array(at), *[batch.column(n) for n in names[1:]]], names=names)
 
-    routed = points.mapInArrow(route, "shard long, fp long, rep long")
+    routed = points.mapInArrow(route, ", ".join(f"{n} long" for n in names))
     sizes = routed.groupBy("shard").count().where(F.col("count") > block)
     spread = routed.join(sizes.select("shard", F.ceil(F.col("count") / block).cast("int").alias("g")), "shard", "left").withColumn("g", F.coalesce("g", F.lit(1)))
     spread = spread.withColumn("k", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    spread = spread.select("shard", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "fp", "rep")
+    spread = spread.select("shard", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "fp", "fp2", "rep")
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("rep").to_numpy(), kind="stable")
-        fp, rep = table.column("fp").to_numpy()[order].view(U64), table.column("rep").to_numpy()[order]
-        masked = fp & chosen[key[0].as_py() >> 32]
+        fps = np.stack([table.column(n).to_numpy()[order].view(U64) for n in ("fp", "fp2")], 1)
+        rep, tree = table.column("rep").to_numpy()[order], key[0].as_py() >> 32
+        masked = fps[:, tree % 2] & chosen[tree]
         by = np.argsort(masked, kind="stable")
         cuts = np.flatnonzero(np.diff(masked[by])) + 1
         a, b = [], []
         for rows in np.split(by, cuts):
             if len(rows) > 1:
-                found = rows[bucket_edges(fp[rows], wide)[:, :2]]
+                found = rows[bucket_edges(fps[rows], wide)[:, :2]]
                 a.append(rep[found[:, 0]])
                 b.append(rep[found[:, 1]])
         join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
@@ -340,11 +342,16 @@ def similar_enough(docs: DataFrame, pairs: DataFrame, similarity: float, shingle
     both = pairs.join(known.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(known.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = lambda column: [set(shingle_hashes(r.lower().split(), shingle, seed)) for r in raw_texts(column)]
-        for whole in batches:
-            for batch in slices(whole, "ta"):
-                good = [bool(x) and len(x & y) >= similarity * len(x | y) for x, y in zip(sets(batch.column("ta")), sets(batch.column("tb")), strict=True)]
-                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        distinct = lambda text: set(shingle_hashes((text or "").encode().lower().split(), shingle, seed))
+        last, y = None, set()
+        for batch in batches:
+            good = []
+            for b, ta, tb in zip(batch.column("b"), batch.column("ta"), batch.column("tb"), strict=True):
+                if b != last:  # rows arrive in the order of b
+                    last, y = b, distinct(tb.as_py())
+                x = distinct(ta.as_py())
+                good.append(bool(x) and len(x & y) >= similarity * len(x | y))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
