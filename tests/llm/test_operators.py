@@ -322,7 +322,7 @@ def test_shortest_forest_joins_what_all_pairs_join():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 64, 12, dtype=np.uint64)
     fps = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 12, dtype=np.uint64)) for _ in range(9)]))
-    edges = simhash.bucket_edges(fps, 3)
+    edges = simhash.bucket_edges(fps[:, None], 3)
     assert len(edges) < len(fps) and all(int(fps[a] ^ fps[b]).bit_count() == d <= 3 for a, b, d in edges)
     root = simhash.spanning(len(fps), iter([(edges[:, 0], edges[:, 1])]))
     want = plain.groups(list(range(len(fps))), [int(f) for f in fps], 3)
