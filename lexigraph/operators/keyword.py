@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.porter import tokens
-from ..store import settled
+from ..store import settled, spread
 
 K1, B = 1.2, 0.75
 TITLE_WEIGHT, COMMON_FRACTION, MAX_AND, MAX_OR = 8.0, 0.05, 6, 4
@@ -131,7 +131,7 @@ def occurrences(docs: DataFrame, tokenize: Callable[[Column | str], Column]) ->
 
 def build(docs: DataFrame, stemmed: bool = True) -> Index:
     """An index over docs(doc, title, lead). Documents without any token count for N and the average length."""
-    occ = settled(occurrences(docs, stemmed_tokens if stemmed else plain_tokens).repartitionByRange("term").sortWithinPartitions("term"), "occurrences")
+    occ = settled(occurrences(spread(docs), stemmed_tokens if stemmed else plain_tokens).repartitionByRange("term").sortWithinPartitions("term"), "occurrences")
     sizes = settled(docs.select("doc").join(occ.groupBy("doc").agg(F.count(F.lit(1)).alias("length")), "doc", "left").select("doc", F.coalesce("length", F.lit(0)).alias("length")), "sizes")
     n, average = sizes.agg(F.count(F.lit(1)), F.avg("length")).first()
     split = tokens if stemmed else (lambda w: re.findall(r"[^\W_]+", w.lower()))

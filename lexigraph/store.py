@@ -28,6 +28,16 @@ def settled(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def spread(df: DataFrame, small: int = 128 << 20) -> DataFrame:
+    """A table estimated below ``small`` bytes dealt over all cores: it may lie in one row group, which one task reads.
+
+    Larger ones have splits enough and aren't moved. The estimate is the optimizer's; nothing runs.
+    """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < small:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
