@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mixed, raw_texts, slices, write_scratch
+from .common import U64, drop_scratch, mixed, raw_texts, slices, write_scratch
 from .components import components
 
 BITS = 64
@@ -78,13 +78,14 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, doc_id: str = "doc_id", text: str = "text", second: bool = False) -> DataFrame:
-    """(doc_id, fp) of every row: the fingerprint's 64 bits as a signed long; fp2 as well if ``second``.
+    """(doc_id, fp) of every row: the fingerprint's 64 bits as a signed long; fp2 and sig as well if ``second``.
 
     The second fingerprint comes from the same hashes after a mixing step; it only helps the wide
-    search, where a pair that the first one puts far apart by chance gets a second one. A-Z are lower-cased; words are runs outside ASCII white space. A text without words
+    search, where a pair that the first one puts far apart by chance gets a second one. sig names
+    the set of shingles (null without words). A-Z are lower-cased; words are runs outside ASCII white space. A text without words
     (null, empty, blank) has fingerprint 0.
     """
-    names = ["doc_id", "fp", "fp2"][: 3 if second else 2]
+    names = ["doc_id", "fp", "fp2", "sig"][: 4 if second else 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -93,7 +94,8 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, doc_id: str
                 sizes = np.fromiter(map(len, per), np.int64, len(per))
                 flat = np.fromiter((h for hs in per for h in hs), U64, int(sizes.sum()))
                 each = [flat, mixed(flat)] if second else [flat]
-                yield pa.RecordBatch.from_arrays([batch.column(doc_id), *[pa.array(majority(h, sizes).view(np.int64)) for h in each]], names=names)
+                named = [pa.array([signature(np.unique(np.array(hs, U64))) for hs in per], pa.int64())] if second else []
+                yield pa.RecordBatch.from_arrays([batch.column(doc_id), *[pa.array(majority(h, sizes).view(np.int64)) for h in each], *named], names=names)
 
     return docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(text).cast("string").alias(text)).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
@@ -356,6 +358,167 @@ def similar_enough(docs: DataFrame, pairs: DataFrame, similarity: float, shingle
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+# ---------------------------------------------------------------- the exact join
+
+SKETCH, PART = 21, 15  # bits of a shingle's hash that name its counter; counters of a part
+
+
+def shingle_set(raw: bytes, shingle: int, seed: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    return np.unique(np.array(shingle_hashes(raw.lower().split(), shingle, seed), U64))
+
+
+def signature(hashes: np.ndarray) -> int | None:
+    """A signed long that names a shingle set; None for an empty one."""
+    return int(np.array(xxhash.xxh3_64_intdigest(hashes.tobytes()), U64).view(np.int64)) if len(hashes) else None
+
+
+def shingle_counts(texts: DataFrame, shingle: int, seed: int) -> np.ndarray:
+    """About how many rows hold a shingle, by the leading bits of its hash."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH, np.int32)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                for raw in raw_texts(batch.column("text")):
+                    np.add.at(total, (shingle_set(raw, shingle, seed) >> U64(64 - SKETCH)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        for k in range(0, len(at), 1 << 16):
+            part = at[k : k + (1 << 16)].astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"part": part >> PART, "at": part & ((1 << PART) - 1), "c": total[part]})
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        c = np.bincount(table.column("at").to_numpy(), table.column("c").to_numpy(), 1 << PART).astype(np.int32)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "c": [c.tobytes()]})
+
+    out = np.zeros(1 << SKETCH, np.int32)
+    packed = texts.select("text").mapInArrow(count, "part int, at int, c int").groupBy("part").applyInArrow(pack, "part int, c binary")
+    for part, c in packed.collect():
+        out[part << PART : (part + 1) << PART] = np.frombuffer(c, np.int32)
+    return out
+
+
+def ordered_prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first n - need + 1 shingles in the global order (rare ones first, then by hash).
+
+    Two sets of that similarity share ``need`` of the n shingles of either, so one of these.
+    """
+    n = len(hashes)
+    size = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    return hashes[np.lexsort((hashes, counts[(hashes >> U64(64 - SKETCH)).astype(np.int64)]))][: min(n, size)]
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of the (a, b) pairs of signatures those whose sets have that Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True):
+                x, y = (np.frombuffer(h.as_buffer(), U64) for h in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda c: sets.select(F.col("sig").alias(c), F.col("h").alias("h" + c))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+
+
+def similar_links(docs: DataFrame, base: DataFrame, points: DataFrame, edges: DataFrame, similarity: float, shingle: int, seed: int, doc_id: str, text: str, sample: int = 1 << 17) -> DataFrame:
+    """``edges`` and (a, b) links with which all texts of that similarity are in one component.
+
+    ``base``: (doc_id, fp, sig); ``points``: (fp, rep), the nodes. Exact but for the hash: an
+    equi-join over the rare ends of the shingle sets (``ordered_prefix``), at any size.
+
+    1. Each shingle links the sets that hold it to one of them, the set with the fewest rarer
+       shingles: the text that others were made from, if it is there. These pairs are checked
+       first, at most one a row, and join a large group without its pairs.
+    2. Every pair that shares a shingle and still lies in two components is checked, unless the
+       lengths or the places of the shared shingles already rule it out.
+
+    The counts behind the order come from ``sample`` rows. They decide how many pairs are
+    looked at, never which are found.
+    """
+    spark = docs.sparkSession
+    held = base.where("doc_id is not null and sig is not null").groupBy("sig", "fp").agg(F.min("doc_id").alias("holder")).join(points.select("fp", "rep"), "fp")
+    held = spark.read.parquet(write_scratch(held, "held"))
+    nodes = spark.read.parquet(write_scratch(held.groupBy("sig").agg(F.min("rep").alias("node"), F.min("holder").alias("holder")), "sets"))
+    edges = edges.unionByName(held.join(nodes.select("sig", "node"), "sig").where("rep <> node").select(F.col("rep").alias("a"), F.col("node").alias("b")))
+    edges = spark.read.parquet(write_scratch(edges, "edges"))
+    texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    share = min(1.0, sample / max(1, nodes.count()))
+    shared = spark.sparkContext.broadcast(shingle_counts(texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1), shingle, seed))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for whole in batches:
+            for batch in slices(whole, "text", 2 << 20):
+                token, sig, n, pos = [], [], [], []
+                for raw in raw_texts(batch.column("text")):
+                    hashes = shingle_set(raw, shingle, seed)
+                    name = signature(hashes)
+                    if name is None or name in done:  # copies in other tasks fall to distinct()
+                        continue
+                    if len(done) < 1 << 18:
+                        done.add(name)
+                    own = ordered_prefix(hashes, shared.value, similarity)
+                    token.append(own)
+                    sig.append(np.full(len(own), name, np.int64))
+                    n.append(np.full(len(own), len(hashes), np.int32))
+                    pos.append(np.arange(len(own), dtype=np.int32))
+                if token:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ([t.view(np.int64) for t in token], sig, n, pos)], names=["token", "sig", "n", "pos"])
+
+    path = write_scratch(texts.mapInArrow(prefixes, "token long, sig long, n int, pos int"), "prefixes")
+    rows = spark.read.parquet(path)
+    common = rows.groupBy("token").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x <> y").select("token")
+    rows = spark.read.parquet(write_scratch(rows.join(common, "token", "left_semi").distinct(), "shared"))
+    drop_scratch(spark, path)
+
+    def apart(now: DataFrame) -> DataFrame:
+        """The rows of shingles that are held in more than one component, with the component."""
+        roots = nodes.join(components(now), "node", "left")
+        placed = rows.join(roots.select("sig", F.coalesce("root", "node").alias("root")), "sig")
+        placed = spark.read.parquet(write_scratch(placed, "placed"))
+        split = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+        return spark.read.parquet(write_scratch(placed.join(split, "token", "left_semi"), "apart"))
+
+    def of_size(a: str, b: str):
+        return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        found = _verified(pairs, sets, similarity)
+        named = lambda c: nodes.select(F.col("sig").alias(c), F.col("node").alias("n" + c))
+        return spark.read.parquet(write_scratch(found.join(named("a"), "a").join(named("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")), "alike"))
+
+    now = apart(edges)
+    wanted = now.select("sig").distinct().join(nodes, "sig").select("sig", "holder")
+    wanted = spark.read.parquet(write_scratch(wanted, "wanted"))
+
+    def named_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 2 << 20):
+                own = [shingle_set(raw, shingle, seed) for raw in raw_texts(batch.column("text"))]
+                yield pa.RecordBatch.from_arrays([pa.array([signature(h) for h in own], pa.int64()), pa.array([h.tobytes() for h in own], pa.binary())], names=["sig", "h"])
+
+    sets = texts.join(wanted.select(F.col("holder").alias("id")).distinct(), "id", "left_semi").select("text").mapInArrow(named_sets, "sig long, h binary")
+    sets = spark.read.parquet(write_scratch(sets.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "hashes"))
+
+    hubs = now.groupBy("token").agg(F.min(F.struct("pos", "sig", "n", "root")).alias("hub"))
+    star = now.join(hubs, "token").where((F.col("root") != F.col("hub.root")) & of_size("n", "hub.n"))
+    star = star.select(F.col("sig").alias("a"), F.col("hub.sig").alias("b")).distinct()
+    edges = edges.unionByName(links_of(star))
+
+    now = apart(edges)
+    one = lambda c: now.select("token", *[F.col(x).alias(x + c) for x in ("sig", "n", "pos", "root")])
+    pairs = one("a").join(one("b"), "token").where((F.col("siga") < F.col("sigb")) & (F.col("roota") != F.col("rootb")) & of_size("na", "nb"))
+    pairs = pairs.groupBy(F.col("siga").alias("a"), F.col("sigb").alias("b"), "na", "nb").agg(F.count(F.lit(1)).alias("o"), F.max("posa").alias("pa"), F.max("posb").alias("pb"))
+    # Beyond their last shared shingle of the prefixes, no more can be shared than is left of either.
+    most = F.col("o") + F.least(F.expr("na - 1 - pa"), F.expr("nb - 1 - pb"))
+    pairs = pairs.where(most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6)
+    return edges.unionByName(links_of(pairs))
+
+
 # ---------------------------------------------------------------- the operator
 
 
@@ -365,8 +528,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     component_id is the smallest doc_id reachable over links of fingerprints that differ in
     at most ``radius`` bits, the row's own included. With ``similarity``, texts whose
     fingerprints lie further apart are linked too if their shingle sets have that Jaccard
-    similarity: candidates come from ``wide_links``, and every one is checked on its whole
-    text. Repeated rows each come back. Rows with a null doc_id come back with component_id
+    similarity, all of them: ``wide_links`` proposes most links cheaply, ``similar_links``
+    looks at every pair that is still apart, and each link is checked on its whole text. Repeated rows each come back. Rows with a null doc_id come back with component_id
     null and link nothing. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -378,6 +541,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     if similarity is not None:
         wide = spark.read.parquet(write_scratch(wide_links(points), "wide"))
         edges = edges.unionByName(similar_enough(docs, wide, similarity, shingle, seed, doc_id, text))
+        edges = similar_links(docs, base, points, edges, similarity, shingle, seed, doc_id, text)
     roots = components(edges)
     named = points.select("fp", "rep").join(roots, points.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     out = base.join(named, "fp", "left")

@@ -318,6 +318,21 @@ def test_wide_search_finds_edited_copies(spark):
     assert all(want[i] != i for i in got if got[i] != i)
 
 
+def edited(rng, words, edits):
+    words = list(words)
+    for at in rng.choice(len(words), edits, replace=False):
+        words[at] = f"edit{rng.integers(0, 10**9)}"
+    return " ".join(words)
+
+
+def test_hundreds_of_edited_copies_of_one_text_are_one_group(spark):
+    rng = np.random.default_rng(21)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    rows = [(0, " ".join(words))] + [(i, edited(rng, words, 6)) for i in range(1, 301)] + [(1000 + i, " ".join(f"v{x}" for x in rng.integers(0, 5000, 200))) for i in range(50)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, similarity=0.8).collect()}
+    assert got == {i: 0 if i < 1000 else i for i, _ in rows}
+
+
 def test_shortest_forest_joins_what_all_pairs_join():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 64, 12, dtype=np.uint64)
