@@ -333,6 +333,19 @@ def test_hundreds_of_edited_copies_of_one_text_are_one_group(spark):
     assert got == {i: 0 if i < 1000 else i for i, _ in rows}
 
 
+def test_every_pair_of_the_similarity_is_linked(spark):
+    """Pairs just over 0.8, of which the wide search alone proposes about 95 %."""
+    rng = np.random.default_rng(22)
+    rows = []
+    for i in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 280)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, edited(rng, words, 6))]
+    sets, fps = [plain.shingles(t) for _, t in rows], [plain.fingerprint(t, 5) for _, t in rows]
+    want = plain.groups([i for i, _ in rows], fps, sets=sets, similarity=0.8)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, similarity=0.8).collect()}
+    assert got == want and sum(want[i] != i for i in want) > 200
+
+
 def test_shortest_forest_joins_what_all_pairs_join():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 64, 12, dtype=np.uint64)
