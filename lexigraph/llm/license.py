@@ -1,6 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line; its tokens are the distinct lower-case words of the line. A block
+A block is a line, or a window of consecutive words over line breaks that is as wide as the
+template asks for; its tokens are its distinct lower-case words. A block
 matches a template when it holds at least the share ``threshold`` of the template's
 distinct tokens. The join is exact and compares few blocks:
 
@@ -67,6 +68,7 @@ class Templates:
         self.labels = [label for _, label in templates]
         self.tokens = [sorted(self.rank[w] for w in s) for s in sets]
         self.need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in sets]
+        self.widths = [math.ceil(len(t.split()) / threshold) for t, _ in templates]
         self.prefix: dict[int, list[int]] = {}
         for k, (t, need) in enumerate(zip(self.tokens, self.need, strict=True)):
             for token in t[: len(t) - need + 1]:
@@ -93,6 +95,37 @@ class Templates:
         some = {k for r in block for k in self.prefix.get(r, ()) if len(block) >= self.need[k]}
         return [(k, hits / len(self.tokens[k])) for k in sorted(some) if (hits := self.contained(block, k))]
 
+    def windows(self, words: list[bytes], seen: set[bytes]) -> list[tuple[int, int, int, float, bool]]:
+        """(first word, last word, template, containment, best) of each place where consecutive words match a template.
+
+        A window is as wide as the template's words divided by the threshold, whatever the line
+        breaks. best: no other template has a higher containment in a window that overlaps.
+        """
+        present = {r for w in seen if (r := self.rank.get(w)) is not None}
+        some = [k for k in sorted({k for r in present for k in self.prefix.get(r, ())}) if len(present.intersection(self.tokens[k])) >= self.need[k]]
+        if not some:
+            return []
+        ranked = [(i, r) for i, w in enumerate(words) if (r := self.rank.get(w)) is not None]
+        found: list[tuple[int, int, int, float]] = []
+        for k in some:
+            own, held, start, hits = set(self.tokens[k]), Counter(), 0, []
+            at = [x for x in ranked if x[1] in own]
+            for i, r in at:
+                held[r] += 1
+                while i - at[start][0] >= self.widths[k] or held[at[start][1]] > 1:
+                    held[at[start][1]] -= 1
+                    if not held[at[start][1]]:
+                        del held[at[start][1]]
+                    start += 1
+                if len(held) >= self.need[k]:
+                    new = (at[start][0], i, k, len(held) / len(own))
+                    if hits and new[0] <= hits[-1][1]:
+                        hits[-1] = max(hits[-1], new, key=lambda h: (h[3], h[0] - h[1]))
+                    else:
+                        hits.append(new)
+            found += hits
+        return [(*h, not any(g[3] > h[3] and g[0] <= h[1] and h[0] <= g[1] for g in found)) for h in sorted(found)]
+
 
 def places(joined: bytes, phrase: bytes) -> list[int]:
     """The word numbers where the phrase begins; ``joined``: words with a blank around each."""
@@ -108,10 +141,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
 
     n_words; n_base, the places of all phrases; first_word and last_word, their smallest and
     largest start (words from 0; null without any); base_labels, the phrases' labels, and
-    labels, those of the templates that each matching line holds most of too (both distinct,
-    sorted, comma-joined); spans, a list of (line, label, score) for every line and template
-    that match; score: 1 with a phrase, else the
-    highest containment of a matching line, else 0. Words are runs of ASCII letters and
+    labels, those of the templates that each matching line, or window over line breaks, holds
+    most of too (both distinct, sorted, comma-joined); spans, a list of (line, label, score) for
+    every line and template that match, and every window by the line where it begins; score: 1 with a phrase, else the
+    highest containment of a matching line or window, else 0. Words are runs of ASCII letters and
     digits and of characters beyond ASCII, A-Z lower-cased. A null text counts as empty:
     no words, no labels (''), score 0. Present columns of these names are replaced. Every
     row comes back in its partition; only counts of template tokens are shuffled.
@@ -152,6 +185,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
                     found = known.search(own)
                     spans += [{"line": number, "label": known.labels[k], "score": share} for k, share in found]
                     best |= {known.labels[k] for k, share in found if share == max(s for _, s in found)}
+            if over := known.windows(words, seen):
+                line_of = [number for number, line in enumerate(flat.split(b"\n")) for _ in line.split()]
+                over = [h for h in over if line_of[h[0]] != line_of[h[1]]]  # the others are in their lines
+                spans += [{"line": line_of[first], "label": known.labels[k], "score": share} for first, _, k, share, _ in over]
+                best |= {known.labels[k] for _, _, k, _, top in over if top}
         score = 1.0 if starts else max((s["score"] for s in spans), default=0.0)
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | best)), spans, score
 

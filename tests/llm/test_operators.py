@@ -390,6 +390,21 @@ def test_license_scan(spark, odd, empty):
     assert license.scan(empty).count() == 0
 
 
+def test_wrapped_notices_are_found(spark):
+    rows = [
+        (1, "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files", "mit"),
+        (2, "x y\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:", "bsd"),
+        (3, "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted", "isc"),
+        (4, "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.", "mpl-2.0"),
+        (5, "licensed under CC BY-SA\n4.0", "cc-by,cc-by-sa-4.0"),
+        (6, "licensed under CC BY-SA 4.0\nby", "cc-by,cc-by-sa-4.0"),
+        (7, "permission is hereby granted free " + "and so on " * 20 + "\nof charge to any person " + "and so on " * 20 + "\nobtaining a copy of this software documentation files", ""),
+    ]
+    got = {r.doc_id: r for r in license.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert {i: got[i].labels for i, *_ in rows} == {i: labels for i, _, labels in rows}
+    assert all(got[i].score == 1.0 for i in (1, 2, 3, 4)) and got[7].score == 0.0
+
+
 def test_filters_lose_no_template():
     rng = np.random.default_rng(8)
     vocabulary = [f"w{i}" for i in range(14)]
