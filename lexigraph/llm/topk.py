@@ -12,6 +12,11 @@ candidates go by descending length, in chunks; a chunk ends the block for all wh
 query can gain from it. For the rest, the partial sum over the leading components plus the
 Cauchy-Schwarz bound of the residual decides which pairs are worth the whole inner
 product. Scores are exact integers, and bounds carry a slack for rounding.
+
+Vectors so long that sums could pass 2^53 (norm over ``LONGEST``) stay out of these blocks.
+They meet every other vector, as queries and as candidates, in blocks of their own: floating
+sums with their error bound choose what can be among the k best, and those products are
+summed as Python integers.
 """
 
 from __future__ import annotations
@@ -23,19 +28,23 @@ from pyspark.sql import functions as F
 
 from .common import write_scratch
 
-LARGEST = 1 << 20
+#: Two vectors up to this length have products whose partial sums stay below 2^53.
+LONGEST = float(1 << 26)
 LOWEST = np.iinfo(np.int64).min
 PACKED = "block long, longest double, ids binary, rows binary"
 
 
 def quantised(vectors: DataFrame, scale: int, vec_id: str, embedding: str) -> DataFrame:
-    """(id, dim, norm, q) of the vectors that take part: no null or non-finite component, none beyond +-2^20 after scaling."""
+    """(id, dim, norm, q, wide) of the vectors without null or non-finite components: integers in q, or as doubles in wide beyond ``LONGEST``."""
     x = F.col("v")
     whole = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & x.isNotNull())
-    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) <= LARGEST / scale))
-    q = F.transform(x, lambda c: F.floor(c * scale).cast("int"))
-    out = whole.where(fine & (F.size("v") > 0)).select("id", q.alias("q"))
-    return out.select("id", F.size("q").alias("dim"), F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, c: a + c.cast("double") * c)).alias("norm"), "q")
+    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    # From 2^52 on every double is whole, and floor() would leave the range of a long.
+    q = F.transform(x, lambda c: F.when(F.abs(c * scale) < float(1 << 52), F.floor(c * scale).cast("double")).otherwise(c * scale))
+    out = whole.where(fine).select("id", q.alias("w"))
+    out = out.select("id", F.size("w").alias("dim"), F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, c: a + c * c)).alias("norm"), "w")
+    short = F.col("norm") <= LONGEST
+    return out.select("id", "dim", "norm", F.when(short, F.col("w").cast("array<int>")).alias("q"), F.when(~short, F.col("w")).alias("wide"))
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -51,6 +60,54 @@ def _pack(dim: int):
     return pack
 
 
+def _pack_wide(dim: int):
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.column("wide").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        return pa.table({"block": [key[0].as_py()], "longest": [float(table.column("norm").to_numpy().max())], "ids": [table.column("id").to_numpy().tobytes()], "rows": [rows.tobytes()]})
+
+    return pack
+
+
+def exact_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(row of q, vec_id, score) of each query's k best; q and c: whole numbers of any size as doubles."""
+    if not (np.isfinite(q).all() and np.isfinite(c).all()):
+        raise OverflowError("op4: a component passes the range of doubles after scaling")
+    with np.errstate(all="ignore"):
+        s = q @ c.T
+        slack = (q.shape[1] + 2) * 2.0**-52 * np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :]
+        low, high = s - slack, s + slack
+    unsure = ~(np.isfinite(low) & np.isfinite(high))
+    low[unsure], high[unsure] = -np.inf, np.inf
+    out = []
+    for i in range(len(qid)):
+        others = np.flatnonzero(cid != qid[i])
+        if len(others) > k:
+            others = others[high[i, others] >= np.partition(low[i, others], len(others) - k)[len(others) - k]]
+        own = [int(x) for x in q[i]]
+        best = sorted((-sum(a * int(b) for a, b in zip(own, c[j].tolist(), strict=True)), int(cid[j])) for j in others.tolist())[:k]
+        if any(not -(1 << 63) <= -x < 1 << 63 for x, _ in best):
+            raise OverflowError("op4: a score passes the range of a long")
+        out += [(i, j, -x) for x, j in best]
+    return out
+
+
+def _exact(queries: DataFrame, candidates: DataFrame, dim: int, k: int) -> DataFrame:
+    """Every query block (qblock, q_ids, q_rows) with every candidate block (block, ids, rows), in whole numbers."""
+
+    def rows_of(ids: np.ndarray, data: bytes) -> np.ndarray:
+        return np.frombuffer(data, np.int32 if len(data) == 4 * len(ids) * dim else np.float64).reshape(-1, dim).astype(np.float64)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        get = lambda name: table.column(name)[0].as_py()
+        qid, cid = np.frombuffer(get("q_ids"), np.int64), np.frombuffer(get("ids"), np.int64)
+        best = exact_block(qid, rows_of(qid, get("q_rows")), cid, rows_of(cid, get("rows")), k)
+        row, ids, score = (np.array([b[x] for b in best], np.int64) for x in range(3))
+        return pa.table({"qblock": np.full(len(best), get("qblock"), np.int64), "row": row, "query_id": qid[row], "vec_id": ids, "score": score})
+
+    both = queries.crossJoin(candidates.select("block", "ids", "rows"))
+    return both.groupBy("block", "qblock").applyInArrow(run, "qblock long, row long, query_id long, vec_id long, score long")
+
+
 class Best:
     """The k best candidates so far of each query: higher score, then smaller id."""
 
@@ -103,7 +160,8 @@ def search_block(qid: np.ndarray, q: np.ndarray, bound: np.ndarray, cid: np.ndar
     return best
 
 
-def _of_dim(rows: DataFrame, dim: int, k: int, is_query, block: int, query_block: int, lead: int, sample: int) -> DataFrame:
+def _of_dim(rows: DataFrame, dim: int, k: int, is_query, block: int, query_block: int, lead: int, sample: int) -> tuple[DataFrame, DataFrame]:
+    """What the queries find, and the query blocks."""
     spark = rows.sparkSession
     n = rows.count()
     # Norm buckets, 256 at most, longest first; a bucket with more rows than a block is cut by a hash of the id.
@@ -163,7 +221,33 @@ def _of_dim(rows: DataFrame, dim: int, k: int, is_query, block: int, query_block
     pairs = candidates.select("block", "longest", every).join(bounded.select("qblock", "reach"), "qblock").where(F.col("longest") * (1 + 1e-9) + 1e-9 >= F.col("reach"))
     work = pairs.select("block", "qblock").join(candidates.select("block", "ids", "rows"), "block").join(bounded.drop("reach"), "qblock")
     work = work.repartition(max(1, min(4096, at * groups)), "block", "qblock")
-    return work.groupBy("block", "qblock").applyInArrow(run, found)
+    return work.groupBy("block", "qblock").applyInArrow(run, found), asked_all.select("qblock", "q_ids", "q_rows")
+
+
+def _with_long(rows: DataFrame, asked: DataFrame | None, dim: int, k: int, is_query, block: int) -> list[DataFrame]:
+    """What the queries of ``asked`` find among the long vectors, and long queries among all; ``rows`` of one dimension."""
+    spark = rows.sparkSession
+
+    def packed(part: DataFrame, name: str) -> DataFrame:
+        groups = max(1, -(-part.count() // block))
+        dealt = part.withColumn("block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
+        return spark.read.parquet(write_scratch(dealt.groupBy("block").applyInArrow(_pack_wide(dim), PACKED), name))
+
+    every = rows.select("id", "norm", F.coalesce("wide", F.col("q").cast("array<double>")).alias("wide"))
+    long = every.where(F.col("norm") > LONGEST)
+    out = [_exact(asked, packed(long, "long"), dim, k)] if asked is not None else []
+    queries = packed(long.where(is_query), "longqueries").select((-1 - F.col("block")).alias("qblock"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
+    return [*out, _exact(queries, packed(every, "every"), dim, k)]
+
+
+def _empty(rows: DataFrame, k: int, is_query) -> DataFrame:
+    """Vectors without components: all score 0, so each query finds the smallest other ids."""
+    from pyspark.sql import Window
+
+    each = F.row_number().over(Window.partitionBy("id").orderBy("norm"))
+    first = rows.select(F.col("id").alias("vec_id"), each.alias("n")).where(F.col("n") <= k).orderBy("vec_id").limit(2 * k).select("vec_id")
+    asked = rows.where(is_query).select(F.lit(0).cast("long").alias("qblock"), F.monotonically_increasing_id().alias("row"), F.col("id").alias("query_id"))
+    return asked.crossJoin(F.broadcast(first)).where("query_id <> vec_id").withColumn("score", F.lit(0).cast("long"))
 
 
 def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 64, block: int = 4096, query_block: int = 2048, lead: int = 16, sample: int = 8192, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -171,10 +255,10 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 6
 
     Queries are the rows whose id is divisible by ``query_every``; candidates are all rows
     with another id. Ties go to the smaller vec_id; with fewer than k candidates all come
-    back. Vectors that are null or empty or hold null or non-finite components take no
-    part, nor do those with a component beyond +-2^20 after scaling, or a null id. Vectors
-    of different lengths (dimensions) don't meet. Rows that repeat an id are candidates
-    each, and each a query with its own ranks. An empty table gives an empty result.
+    back. Vectors that are null or hold null or non-finite components take no part, nor do
+    those with a null id. Vectors of different lengths (dimensions) don't meet. Rows that
+    repeat an id are candidates each, and each a query with its own ranks. An empty table
+    gives an empty result. A score beyond the range of a long raises.
     """
     from pyspark.sql import Window
 
@@ -182,9 +266,19 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 6
     rows = spark.read.parquet(write_scratch(quantised(vectors, scale, vec_id, embedding), "vectors"))
     is_query = F.col("id") % query_every == 0
     out = None
-    for (dim,) in sorted(map(tuple, rows.where(is_query).select("dim").distinct().collect())):
-        found = _of_dim(rows.where(F.col("dim") == dim), dim, k, is_query, block, query_block, lead, sample).withColumn("dim", F.lit(dim))
-        out = found if out is None else out.unionByName(found)
+    kinds = rows.groupBy("dim").agg(F.max((is_query & (F.col("norm") <= LONGEST)).cast("int")).alias("asked"), F.max(is_query.cast("int")).alias("any"), F.max((F.col("norm") > LONGEST).cast("int")).alias("long"))
+    for dim, asked, long in sorted((r.dim, r.asked, r.long) for r in kinds.where("any = 1").collect()):
+        own, blocks, found = rows.where(F.col("dim") == dim), None, []
+        if not dim:
+            found = [_empty(own, k, is_query)]
+        elif asked:
+            near, blocks = _of_dim(own.where("q is not null").drop("wide"), dim, k, is_query, block, query_block, lead, sample)
+            found = [near]
+        if long:
+            found += _with_long(own, blocks, dim, k, is_query, min(block, 1024))
+        for part in found:
+            part = part.withColumn("dim", F.lit(dim))
+            out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     best = Window.partitionBy("dim", "qblock", "row").orderBy(F.desc("score"), "vec_id")

@@ -209,6 +209,20 @@ def test_topk(spark, options):
     assert got == plain.topk(whole)
 
 
+def test_topk_keeps_every_finite_vector(spark):
+    rng = np.random.default_rng(41)
+    rows = [(i, [float(x) for x in rng.standard_normal(12) * rng.choice([1, 3e4, 1e6])]) for i in range(150)]
+    rows += [(200, [17000.0] * 12), (201, [17000.0] * 12), (220, [1e7] + [0.0] * 11), (221, [0.0] * 11 + [1e7]), (300, [1e15]), (301, [1.0]), (240, []), (241, []), (260, []), (260, [])]
+    whole = [(i, [int(np.floor(64 * x)) for x in e]) for i, e in rows]
+    want = plain.topk(whole)
+    assert max(abs(r[3]) for r in want) > 1 << 53
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for options in ({}, {"block": 16, "query_block": 3, "lead": 4}):
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(v, **options).collect()) == want
+    with pytest.raises(Exception, match="range of a long"):
+        topk.top_k(spark.createDataFrame([(0, [1e15]), (1, [1e15])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_topk_of_small_and_empty_tables(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(none).count() == 0
