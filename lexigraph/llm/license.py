@@ -141,9 +141,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
 
     n_words; n_base, the places of all phrases; first_word and last_word, their smallest and
     largest start (words from 0; null without any); base_labels, the phrases' labels, and
-    labels, those of the templates that each matching line, or window over line breaks, holds
-    most of too (both distinct, sorted, comma-joined); spans, a list of (line, label, score) for
-    every line and template that match, and every window by the line where it begins; score: 1 with a phrase, else the
+    labels, those of the templates that each matching line, or window that no better match
+    overlaps, holds most of too (both distinct, sorted, comma-joined); spans, a list of (line, label, score) for
+    every line and template that match, and every window over line breaks by its first line; score: 1 with a phrase, else the
     highest containment of a matching line or window, else 0. Words are runs of ASCII letters and
     digits and of characters beyond ASCII, A-Z lower-cased. A null text counts as empty:
     no words, no labels (''), score 0. Present columns of these names are replaced. Every
@@ -187,8 +187,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
                     best |= {known.labels[k] for k, share in found if share == max(s for _, s in found)}
             if over := known.windows(words, seen):
                 line_of = [number for number, line in enumerate(flat.split(b"\n")) for _ in line.split()]
-                over = [h for h in over if line_of[h[0]] != line_of[h[1]]]  # the others are in their lines
-                spans += [{"line": line_of[first], "label": known.labels[k], "score": share} for first, _, k, share, _ in over]
+                # Windows within a line have their spans already, but not the labels of a second notice there.
+                spans += [{"line": line_of[first], "label": known.labels[k], "score": share} for first, last, k, share, _ in over if line_of[first] != line_of[last]]
                 best |= {known.labels[k] for _, _, k, _, top in over if top}
         score = 1.0 if starts else max((s["score"] for s in spans), default=0.0)
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | best)), spans, score

@@ -419,6 +419,14 @@ def test_wrapped_notices_are_found(spark):
     assert all(got[i].score == 1.0 for i in (1, 2, 3, 4)) and got[7].score == 0.0
 
 
+def test_a_second_edited_notice_in_a_line_keeps_its_label(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without charge is hereby granted"
+    rows = [(1, f"{bsd} and so on. {isc}"), (2, "licensed under CC BY-SA 4.0 and so on")]
+    got = {r.doc_id: r.labels for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "bsd,isc", 2: "cc-by,cc-by-sa-4.0"}
+
+
 def test_filters_lose_no_template():
     rng = np.random.default_rng(8)
     vocabulary = [f"w{i}" for i in range(14)]
