@@ -4,7 +4,9 @@ A text is cut into words by the tokenizer's pattern. A word keeps two flat lists
 parts' ids and the ranks of adjacent pairs. The lowest rank (the leftmost of equals) is
 found by a scan, its boundary is deleted, and the two neighbouring ranks are refreshed.
 Scans are quadratic, so words over ``LONG`` bytes use a heap over a linked list instead,
-which merges in the same order. Results of words are remembered up to a fixed number.
+which merges in the same order. Results of words are remembered up to a fixed number of
+bytes, and a long text goes through in runs of words, so that a worker holds little besides
+the text and its ids.
 
 The vocabulary file (tokenizers .json, byte-level, without normaliser) is read on the
 driver and broadcast; its size is fixed by the file.
@@ -15,17 +17,22 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import batched, chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import extended, raw_texts, slices, with_columns
+from .common import extended, raw_texts, release, slices, with_columns
 
 LONG = 192
-REMEMBERED = 500_000
+#: Bytes of memory for words' results (about 250 for a short word), and words taken at a time.
+REMEMBERED = 32 << 20
+RUN = 1 << 15
 NONE = 1 << 30
 
 # The word pattern of byte-level BPE, with white space as Unicode has it.
@@ -73,7 +80,8 @@ class Codec:
         self.added = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
         self.split = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.room = REMEMBERED
 
     def _short(self, ids: list[int]) -> list[int]:
         rank_of, made = self.pairs.get, self.made
@@ -114,30 +122,38 @@ class Codec:
         ids = [self.single[b] for b in raw]
         return self._short(ids) if len(raw) <= LONG else self._long(ids)
 
-    def entry(self, word: str) -> tuple[int, str, bytes]:
-        """(number of ids, the ids in decimal with commas, the bytes that they decode to)."""
+    def entry(self, word: str) -> tuple[bytes, bytes]:
+        """The word's ids as 32-bit numbers, and the bytes that they decode to."""
         ids = [self.added[word]] if word in self.added else self.word(word)
-        found = len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
+        found = array("i", ids).tobytes(), b"".join(map(self.bytes_of.__getitem__, ids))
         if len(word) <= 64:
-            if len(self.known) >= REMEMBERED:
+            self.room -= 220 + 4 * len(word) + len(found[0])
+            if self.room < 0:
                 self.known.clear()
+                self.room = REMEMBERED
             self.known[word] = found
         return found
 
-    def words(self, raw: bytes) -> list[str]:
+    def words(self, raw: bytes) -> Iterator[str]:
         """The text's words and added tokens, in order."""
-        find = (ANY if raw.translate(None, BELOW_0280) else LATIN).findall
+        pattern = ANY if raw.translate(None, BELOW_0280) else LATIN
         text = raw.decode()
+        find = lambda t: pattern.findall(t) if len(t) < 8 * RUN else (m.group() for m in pattern.finditer(t))
         if self.split is None or not any(t in text for t in self.added):
             return find(text)
-        return [w for i, part in enumerate(self.split(text)) for w in ([part] if i % 2 else find(part))]
+        return chain.from_iterable([part] if i % 2 else find(part) for i, part in enumerate(self.split(text)))
 
-    def entries(self, raw: bytes) -> list[tuple[int, str, bytes]]:
-        get, new = self.known.get, self.entry
-        return [get(w) or new(w) for w in self.words(raw)]
+    def encoded(self, raw: bytes) -> tuple[bytes, bytes]:
+        """The text's ids as 32-bit numbers, and the bytes that they decode to."""
+        get, new, ids, back = self.known.get, self.entry, bytearray(), bytearray()
+        for words in batched(self.words(raw), RUN):
+            found = [get(w) or new(w) for w in words]
+            ids += b"".join([e[0] for e in found])
+            back += b"".join([e[1] for e in found])
+        return ids, back
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for e in self.entries(text.encode()) for i in e[1].split(",")]
+        return np.frombuffer(self.encoded(text.encode())[0], np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode(errors="replace")
@@ -171,23 +187,22 @@ def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
         for whole in batches:
-            for batch in slices(whole, text):
-                counts, lists, backs = [], [], []
-                for raw in raw_texts(batch.column(text)):
-                    parts = codec.entries(raw)
-                    counts.append(sum([e[0] for e in parts]))
-                    lists.append(",".join([e[1] for e in parts]))
-                    backs.append(b"".join([e[2] for e in parts]).decode(errors="replace"))
+            for batch in slices(whole, text, 1 << 20):
+                found = [codec.encoded(raw) for raw in raw_texts(batch.column(text))]
+                flat = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
+                ends = np.cumsum([0, *(len(f[0]) // 4 for f in found)])
                 new: dict = {}
                 if ids:
-                    new[ids] = pa.array([[int(i) for i in x.split(",")] if x else [] for x in lists], pa.list_(pa.int32()))
+                    new[ids] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 if ids_text:
-                    new[ids_text] = pa.array(lists, pa.string())
+                    new[ids_text] = pa.array([",".join(map(str, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
                 if n_tokens:
-                    new[n_tokens] = pa.array(counts, pa.int64())
+                    new[n_tokens] = pa.array(np.diff(ends), pa.int64())
                 if decoded:
-                    new[decoded] = pa.array(backs, pa.string())
+                    new[decoded] = pa.array([f[1].decode(errors="replace") for f in found], pa.string())
+                del found
                 columns = with_columns(batch, new)
                 yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema.fields], names=[f.name for f in schema.fields])
+        release()
 
     return docs.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ may not be used by input columns.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,10 +34,13 @@ def fold(doc_id: Column | str, modulus: int) -> Column:
 
 
 def extended(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
-    """The schema with these fields set: present ones replaced in place, others appended."""
-    new = dict(fields)
-    kept = [T.StructField(f.name, new.pop(f.name), True) if f.name in new else f for f in schema.fields]
-    return T.StructType([*kept, *(T.StructField(k, v, True) for k, v in new.items())])
+    """The schema with these fields set: present ones replaced in place, others appended.
+
+    Spark's names don't differ by case, so a present ``N_WORDS`` gives way to ``n_words``, under the new name.
+    """
+    new = {n.lower(): T.StructField(n, t, True) for n, t in fields}
+    kept = [new.pop(f.name.lower(), f) for f in schema.fields]
+    return T.StructType([*kept, *new.values()])
 
 
 def raw_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
@@ -45,9 +49,7 @@ def raw_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 
 
 def with_columns(batch: pa.RecordBatch | pa.Table, columns: dict[str, pa.Array]) -> dict[str, pa.Array]:
-    out = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-    out.update(columns)
-    return out
+    return {name: batch.column(i) for i, name in enumerate(batch.schema.names)} | columns
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -66,6 +68,13 @@ def total_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on between stages, and keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # ---------------------------------------------------------------- hashing
 
 
@@ -139,7 +148,7 @@ def write_scratch(df: DataFrame, name: str, by: str | None = None) -> str:
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path, partitionBy=by)
+        df.write.options(compression="zstd", **{"parquet.block.size": 32 << 20}).parquet(path, partitionBy=by)
     finally:
         if before is None:
             spark.conf.unset(key)
