@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, drop_scratch, mixed, raw_texts, slices, write_scratch
+from .common import U64, bucket_bounds, drop_scratch, from_planes, mixed, pack_sorted, planes, raw_texts, release, slices, unpack_sorted, write_scratch
 from .components import components
 
 BITS = 64
@@ -77,25 +77,26 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, doc_id: str = "doc_id", text: str = "text", second: bool = False) -> DataFrame:
-    """(doc_id, fp) of every row: the fingerprint's 64 bits as a signed long; fp2 and sig as well if ``second``.
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, doc_id: str = "doc_id", text: str = "text", sets: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row: the fingerprint's 64 bits as a signed long; with ``sets`` also sig and n.
 
-    The second fingerprint comes from the same hashes after a mixing step; it only helps the wide
-    search, where a pair that the first one puts far apart by chance gets a second one. sig names
-    the set of shingles (null without words). A-Z are lower-cased; words are runs outside ASCII white space. A text without words
-    (null, empty, blank) has fingerprint 0.
+    sig names the set of shingles and n is its size (null and 0 without words). A-Z are lower-cased; words are runs
+    outside ASCII white space. A text without words (null, empty, blank) has fingerprint 0.
     """
-    names = ["doc_id", "fp", "fp2", "sig"][: 4 if second else 2]
+    names = ["doc_id", "fp", "sig", "n"][: 4 if sets else 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, 4 << 20):
                 per = [shingle_hashes(r.lower().split(), shingle, seed) for r in raw_texts(batch.column(text))]
                 sizes = np.fromiter(map(len, per), np.int64, len(per))
                 flat = np.fromiter((h for hs in per for h in hs), U64, int(sizes.sum()))
-                each = [flat, mixed(flat)] if second else [flat]
-                named = [pa.array([signature(np.unique(np.array(hs, U64))) for hs in per], pa.int64())] if second else []
-                yield pa.RecordBatch.from_arrays([batch.column(doc_id), *[pa.array(majority(h, sizes).view(np.int64)) for h in each], *named], names=names)
+                columns = [batch.column(doc_id), pa.array(majority(flat, sizes).view(np.int64))]
+                if sets:
+                    distinct = [np.unique(np.array(hs, U64)) for hs in per]
+                    columns += [pa.array(map(signature, distinct), pa.int64()), pa.array(map(len, distinct), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+        release()
 
     return docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(text).cast("string").alias(text)).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
@@ -117,25 +118,25 @@ def masks(bands: int, radius: int) -> list[tuple[int, int]]:
     return [(sum(c), 0) for c in combinations(band, bands - radius)]
 
 
-def bands_for(rows: int, radius: int) -> int:
-    """More bands make longer masks: leaves then stay small as the rows grow."""
-    return radius + 1 if rows <= 1 << 22 else radius + 2 if rows <= 1 << 30 else radius + 3
+def bands_for(depth: int, radius: int) -> int:
+    """The fewest bands whose masks have as many bits as the trees have levels: leaves then stay small as the rows grow."""
+    return next(b for b in range(radius + 1, BITS) if BITS * (b - radius) // b >= min(depth, BITS // 2))
 
 
 class Tree:
     """A vantage-point tree of fixed depth over a masked Hamming distance.
 
-    Vantage points are drawn from a fixed sequence; cuts are the medians of a bounded
-    sample, which only balances the leaves and never changes which pairs are found.
+    A node's vantage point follows from its number. Cuts are the medians of a bounded sample, down to ``SAMPLED``
+    levels, and half the mask's bits below; they only balance the leaves and never change which pairs are found.
     """
 
+    SAMPLED = 12
+
     def __init__(self, mask: int, radius: int, depth: int, sample: np.ndarray, salt: int):
-        self.mask, self.radius, self.depth = U64(mask), radius, depth
-        nodes = 1 << depth
-        self.points = mixed(np.arange(nodes, dtype=U64) + U64(salt * 0x9E3779B9 + 1)) & self.mask
-        self.cuts = np.full(nodes, bin(mask).count("1") // 2, np.int64)
+        self.mask, self.radius, self.depth, self.salt = U64(mask), radius, depth, U64(salt * 0x9E3779B9 + 1)
+        self.cuts = np.full(1 << min(depth, self.SAMPLED), bin(mask).count("1") // 2, np.int64)
         at = np.ones(len(sample), np.int64)
-        for _ in range(depth):
+        for _ in range(min(depth, self.SAMPLED)):
             d = self._distance(sample, at)
             for node in np.unique(at):
                 own = d[at == node]
@@ -143,20 +144,23 @@ class Tree:
                     self.cuts[node] = int(np.median(own))
             at = 2 * at + (d > self.cuts[at])
 
+    def _cut(self, at: np.ndarray) -> np.ndarray:
+        return self.cuts[np.where(at < len(self.cuts), at, 0)]
+
     def _distance(self, fps: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return np.bitwise_count((fps ^ self.points[at]) & self.mask).astype(np.int64)
+        return np.bitwise_count((fps ^ mixed(at.astype(U64) + self.salt)) & self.mask).astype(np.int64)
 
     def home(self, fps: np.ndarray) -> np.ndarray:
         at = np.ones(len(fps), np.int64)
         for _ in range(self.depth):
-            at = 2 * at + (self._distance(fps, at) > self.cuts[at])
+            at = 2 * at + (self._distance(fps, at) > self._cut(at))
         return at
 
     def reach(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) for every leaf that may hold a row within the masked radius."""
         row, at = np.arange(len(fps)), np.ones(len(fps), np.int64)
         for _ in range(self.depth):
-            d, cut = self._distance(fps[row], at), self.cuts[at]
+            d, cut = self._distance(fps[row], at), self._cut(at)
             low, high = d - self.radius <= cut, d + self.radius > cut
             row = np.concatenate((row[low], row[high]))
             at = np.concatenate((2 * at[low], 2 * at[high] + 1))
@@ -205,11 +209,11 @@ def links(points: DataFrame, radius: int = 4, bands: int | None = None, leaf: in
     """
     spark = points.sparkSession
     n = points.count()
-    bands = bands or bands_for(n, radius)
+    wanted = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
+    bands = bands or bands_for(wanted, radius)
     rows = points.select("fp").orderBy(F.xxhash64("fp")).limit(sample).collect() if n else []
     drawn = np.array([r[0] for r in rows], np.int64).view(U64)
-    wanted = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
-    trees = [Tree(m, r, min(wanted, 14, bin(m).count("1")), drawn, i) for i, (m, r) in enumerate(masks(bands, radius))]
+    trees = [Tree(m, r, min(wanted, bin(m).count("1")), drawn, i) for i, (m, r) in enumerate(masks(bands, radius))]
     shared = spark.sparkContext.broadcast(trees)
     kind = pa.schema([("shard", pa.int64()), ("own", pa.bool_()), ("fp", pa.int64()), ("rep", pa.int64())])
 
@@ -221,7 +225,7 @@ def links(points: DataFrame, radius: int = 4, bands: int | None = None, leaf: in
                 row, at = tree.reach(fp.view(U64)) if tree.radius else (np.empty(0, np.int64),) * 2
                 away = at != home[row]
                 row, at = row[away], at[away]
-                base = np.int64(i) << 32
+                base = np.int64(i) << 40
                 own = np.concatenate((np.ones(len(fp), bool), np.zeros(len(row), bool)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((home, at)) + base), pa.array(own), pa.array(np.concatenate((fp, fp[row]))), pa.array(np.concatenate((rep, rep[row])))], schema=kind)
 
@@ -248,119 +252,9 @@ def links(points: DataFrame, radius: int = 4, bands: int | None = None, leaf: in
     return spread.groupBy("shard", "i", "j").applyInArrow(search, "a long, b long")
 
 
-# ---------------------------------------------------------------- the wide search
-
-
-def tree_edges(fps: np.ndarray, wide: int) -> np.ndarray:
-    """(row, row, distance) of a shortest spanning forest over pairs within ``wide`` bits (Prim).
-
-    ``fps``: a row of 64-bit words each; distances add up over the words. Copies are nearest
-    to what they were copied from, so the forest holds the links that matter, and never more
-    than one a row, however large the group.
-    """
-    out: list[tuple[int, int, int]] = []
-    open_ = np.ones(len(fps), bool)
-    best, parent = np.full(len(fps), 999, np.int64), np.full(len(fps), -1, np.int64)
-    for _ in range(len(fps)):
-        near = np.where(open_, best, 1000)
-        x = int(near.argmin())
-        if near[x] <= wide:
-            out.append((x, int(parent[x]), int(near[x])))
-        open_[x] = False
-        d = np.bitwise_count(fps ^ fps[x]).sum(1, dtype=np.int64)
-        closer = open_ & (d <= wide) & (d < best)
-        best[closer], parent[closer] = d[closer], x
-    return np.array(out, np.int64).reshape(-1, 3)
-
-
-def bucket_edges(fps: np.ndarray, wide: int) -> np.ndarray:
-    """``tree_edges`` over the rows that have any partner; most buckets have none, which one comparison shows."""
-    if len(fps) <= 512:
-        near = sum(np.bitwise_count(w[:, None] ^ w[None, :]) for w in fps.T) <= wide
-        rows = np.flatnonzero(near.sum(1) > 1)
-        if not len(rows):
-            return np.empty((0, 3), np.int64)
-        found = tree_edges(fps[rows], wide)
-        found[:, :2] = rows[found[:, :2]]
-        return found
-    return tree_edges(fps, wide)
-
-
-def wide_links(points: DataFrame, wide: int = 26, trees: int = 32, bucket: int = 48, shard: int = 2048, block: int = 4096) -> DataFrame:
-    """(a, b) candidate links of points (fp, fp2, rep) within ``wide`` of both fingerprints' 128 bits, for an exact check to follow.
-
-    Each of ``trees`` trees, by turns over the first and the second fingerprint, partitions the fingerprints by Hamming distance over its own
-    random bits, about log2(n / bucket) of them, down to equal bits (radius 0, so nothing is
-    copied across boundaries): a pair that d bits of a fingerprint set apart meets in one
-    tree with probability (1 - d / 64)^bits, and is missed only if it meets in none. Shards over ``block`` rows are
-    cut into pairs of blocks, as in ``links``.
-    """
-    spark = points.sparkSession
-    n = points.count()
-    bits = int(np.clip(np.ceil(np.log2(max(1, n / bucket))), 4, 32))
-    rng = np.random.default_rng(64)
-    chosen = [U64(sum(1 << int(b) for b in rng.choice(BITS, bits, replace=False))) for _ in range(trees)]
-    parts = max(1, -(-n // shard))
-    names = ["shard", "fp", "fp2", "rep"]
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, mask in enumerate(chosen):
-                fp = batch.column(("fp", "fp2")[i % 2]).to_numpy().view(U64)
-                at = (mixed(fp & mask) % U64(parts)).astype(np.int64) + (i << 32)
-                yield pa.RecordBatch.from_arrays([pa.array(at), *[batch.column(n) for n in names[1:]]], names=names)
-
-    routed = points.mapInArrow(route, ", ".join(f"{n} long" for n in names))
-    sizes = routed.groupBy("shard").count().where(F.col("count") > block)
-    spread = routed.join(sizes.select("shard", F.ceil(F.col("count") / block).cast("int").alias("g")), "shard", "left").withColumn("g", F.coalesce("g", F.lit(1)))
-    spread = spread.withColumn("k", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    spread = spread.select("shard", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "fp", "fp2", "rep")
-
-    def search(key: tuple, table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("rep").to_numpy(), kind="stable")
-        fps = np.stack([table.column(n).to_numpy()[order].view(U64) for n in ("fp", "fp2")], 1)
-        rep, tree = table.column("rep").to_numpy()[order], key[0].as_py() >> 32
-        masked = fps[:, tree % 2] & chosen[tree]
-        by = np.argsort(masked, kind="stable")
-        cuts = np.flatnonzero(np.diff(masked[by])) + 1
-        a, b = [], []
-        for rows in np.split(by, cuts):
-            if len(rows) > 1:
-                found = rows[bucket_edges(fps[rows], wide)[:, :2]]
-                a.append(rep[found[:, 0]])
-                b.append(rep[found[:, 1]])
-        join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return pa.table({"a": np.maximum(join(a), join(b)), "b": np.minimum(join(a), join(b))})
-
-    return spread.groupBy("shard", "i", "j").applyInArrow(search, "a long, b long").distinct()
-
-
-def similar_enough(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int, seed: int, doc_id: str, text: str) -> DataFrame:
-    """Of the (a, b) pairs of doc_ids those whose shingle sets have that Jaccard similarity; exact but for the hash."""
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    known = texts.join(involved, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    known = known.sparkSession.read.parquet(write_scratch(known, "texts"))
-    both = pairs.join(known.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(known.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distinct = lambda text: set(shingle_hashes((text or "").encode().lower().split(), shingle, seed))
-        last, y = None, set()
-        for batch in batches:
-            good = []
-            for b, ta, tb in zip(batch.column("b"), batch.column("ta"), batch.column("tb"), strict=True):
-                if b != last:  # rows arrive in the order of b
-                    last, y = b, distinct(tb.as_py())
-                x = distinct(ta.as_py())
-                good.append(bool(x) and len(x & y) >= similarity * len(x | y))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
 # ---------------------------------------------------------------- the exact join
 
-SKETCH, PART = 21, 15  # bits of a shingle's hash that name its counter; counters of a part
+SKETCH, PART = 24, 16  # bits of a shingle's hash that name its counter; counters of a part
 
 
 def shingle_set(raw: bytes, shingle: int, seed: int) -> np.ndarray:
@@ -373,28 +267,42 @@ def signature(hashes: np.ndarray) -> int | None:
     return int(np.array(xxhash.xxh3_64_intdigest(hashes.tobytes()), U64).view(np.int64)) if len(hashes) else None
 
 
+def rising(counts: np.ndarray) -> np.ndarray:
+    """Counts as one byte that never falls: themselves below 128, then eight steps for each doubling."""
+    return np.where(counts < 128, counts, np.minimum(255, 72 + np.floor(8 * np.log2(np.maximum(counts, 1))))).astype(np.uint8)
+
+
 def shingle_counts(texts: DataFrame, shingle: int, seed: int) -> np.ndarray:
-    """About how many rows hold a shingle, by the leading bits of its hash."""
+    """About how many rows hold a shingle (``rising``), by the leading bits of its hash: 16 MB at any size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH, np.int32)
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            at, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64),) * 2
+            edges = np.searchsorted(at, np.arange(0, (1 << SKETCH) + 1, 1 << PART))
+            full = [(p, a, b) for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < b]
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in full], pa.int32()), pa.array([planes(np.diff(at[a:b], prepend=p << PART).astype(np.uint16)) for p, a, b in full], pa.binary()), pa.array([planes(c[a:b].astype(np.uint32)) for _, a, b in full], pa.binary())], names=["part", "at", "c"])
+
         for whole in batches:
-            for batch in slices(whole, "text"):
-                for raw in raw_texts(batch.column("text")):
-                    np.add.at(total, (shingle_set(raw, shingle, seed) >> U64(64 - SKETCH)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 1 << 16):
-            part = at[k : k + (1 << 16)].astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"part": part >> PART, "at": part & ((1 << PART) - 1), "c": total[part]})
+            for batch in slices(whole, "text", 4 << 20):
+                held += [(shingle_set(raw, shingle, seed) >> U64(64 - SKETCH)).astype(np.int64) for raw in raw_texts(batch.column("text"))]
+                if sum(map(len, held)) > 4_000_000:
+                    yield from flush()
+        yield from flush()
+        release()
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
-        c = np.bincount(table.column("at").to_numpy(), table.column("c").to_numpy(), 1 << PART).astype(np.int32)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "c": [c.tobytes()]})
-
-    out = np.zeros(1 << SKETCH, np.int32)
-    packed = texts.select("text").mapInArrow(count, "part int, at int, c int").groupBy("part").applyInArrow(pack, "part int, c binary")
-    for part, c in packed.collect():
-        out[part << PART : (part + 1) << PART] = np.frombuffer(c, np.int32)
+        total = np.zeros(1 << PART, np.int64)
+        for at, c in zip(table.column("at").to_pylist(), table.column("c").to_pylist(), strict=True):
+            total[np.cumsum(from_planes(at, np.uint16), dtype=np.int64)] += from_planes(c, np.uint32)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "c": [rising(total).tobytes()]})
+
+    out = np.zeros(1 << SKETCH, np.uint8)
+    packed = texts.select("text").mapInArrow(count, "part int, at binary, c binary").groupBy("part").applyInArrow(pack, "part int, c binary")
+    for part, c in packed.toLocalIterator():
+        out[part << PART : (part + 1) << PART] = np.frombuffer(c, np.uint8)
     return out
 
 
@@ -424,29 +332,72 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
+def repeated(rows: DataFrame, buckets: int) -> DataFrame:
+    """(token) of the tokens that more than one partition of ``rows``, or one more than once, holds.
+
+    Keys travel sorted, as differences in byte planes, once a partition: a few bytes each, whatever a token's share.
+    """
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, U64), np.empty(0, np.int64))
+            b = bucket_bounds(keys, buckets)
+            full = np.flatnonzero(np.diff(b)).tolist()
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([pack_sorted(keys[b[i] : b[i + 1]]) for i in full], pa.binary()), pa.array([np.packbits(c[b[i] : b[i + 1]] > 1).tobytes() for i in full], pa.binary())], names=["bucket", "keys", "again"])
+
+        for batch in batches:
+            held.append(batch.column("token").to_numpy().view(U64))
+            if sum(map(len, held)) > 4_000_000:
+                yield from flush()
+        yield from flush()
+        release()
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        keys = [unpack_sorted(k) for k in table.column("keys").to_pylist()]
+        again = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8), count=len(k)) for a, k in zip(table.column("again").to_pylist(), keys, strict=True)])
+        every = np.concatenate(keys)
+        by = np.argsort(every, kind="stable")
+        every, again = every[by], again[by].astype(bool)
+        again[1:] |= every[1:] == every[:-1]
+        return pa.table({"token": np.unique(every[again]).view(np.int64)})
+
+    return rows.select("token").mapInArrow(gather, "bucket long, keys binary, again binary").groupBy("bucket").applyInArrow(merge, "token long")
+
+
 def similar_links(docs: DataFrame, base: DataFrame, points: DataFrame, edges: DataFrame, similarity: float, shingle: int, seed: int, doc_id: str, text: str, sample: int = 1 << 17) -> DataFrame:
     """``edges`` and (a, b) links with which all texts of that similarity are in one component.
 
-    ``base``: (doc_id, fp, sig); ``points``: (fp, rep), the nodes. Exact but for the hash: an
+    ``base``: (doc_id, fp, sig, n); ``points``: (fp, rep), the nodes. Exact but for the hash: an
     equi-join over the rare ends of the shingle sets (``ordered_prefix``), at any size.
 
-    1. Each shingle links the sets that hold it to one of them, the set with the fewest rarer
-       shingles: the text that others were made from, if it is there. These pairs are checked
-       first, at most one a row, and join a large group without its pairs.
+    1. Each shingle has a hub, of the sets that hold it the one with the fewest rarer shingles: the
+       text that others were made from, if it is there. Each set is checked against the hub that most
+       of its shingles name: at most one pair a set, which joins a large group without its pairs.
     2. Every pair that shares a shingle and still lies in two components is checked, unless the
-       lengths or the places of the shared shingles already rule it out.
+       lengths or the places of the shared shingle already rule it out.
 
     The counts behind the order come from ``sample`` rows. They decide how many pairs are
     looked at, never which are found.
     """
     spark = docs.sparkSession
-    held = base.where("doc_id is not null and sig is not null").groupBy("sig", "fp").agg(F.min("doc_id").alias("holder")).join(points.select("fp", "rep"), "fp")
-    held = spark.read.parquet(write_scratch(held, "held"))
-    nodes = spark.read.parquet(write_scratch(held.groupBy("sig").agg(F.min("rep").alias("node"), F.min("holder").alias("holder")), "sets"))
+    read = spark.read.parquet
+    scratch: list[str] = []
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(write_scratch(df, name))
+        return read(scratch[-1])
+
+    held = base.where("doc_id is not null and sig is not null").groupBy("sig", "fp").agg(F.min("doc_id").alias("holder"), F.min("n").alias("n")).join(points.select("fp", "rep"), "fp")
+    held = stored(held, "held")
+    nodes = stored(held.groupBy("sig").agg(F.min("rep").alias("node"), F.min("holder").alias("holder"), F.sum("n").alias("n")), "sets")
     edges = edges.unionByName(held.join(nodes.select("sig", "node"), "sig").where("rep <> node").select(F.col("rep").alias("a"), F.col("node").alias("b")))
-    edges = spark.read.parquet(write_scratch(edges, "edges"))
+    edges = stored(edges, "edges")
     texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    share = min(1.0, sample / max(1, nodes.count()))
+    n_sets, n_shingles = nodes.agg(F.count(F.lit(1)), F.sum("n")).first()
+    share = min(1.0, sample / max(1, n_sets))
     shared = spark.sparkContext.broadcast(shingle_counts(texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1), shingle, seed))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,7 +410,7 @@ def similar_links(docs: DataFrame, base: DataFrame, points: DataFrame, edges: Da
                     name = signature(hashes)
                     if name is None or name in done:  # copies in other tasks fall to distinct()
                         continue
-                    if len(done) < 1 << 18:
+                    if len(done) < 1 << 16:
                         done.add(name)
                     own = ordered_prefix(hashes, shared.value, similarity)
                     token.append(own)
@@ -468,55 +419,62 @@ def similar_links(docs: DataFrame, base: DataFrame, points: DataFrame, edges: Da
                     pos.append(np.arange(len(own), dtype=np.int32))
                 if token:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ([t.view(np.int64) for t in token], sig, n, pos)], names=["token", "sig", "n", "pos"])
+        release()
 
-    path = write_scratch(texts.mapInArrow(prefixes, "token long, sig long, n int, pos int"), "prefixes")
-    rows = spark.read.parquet(path)
-    common = rows.groupBy("token").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x <> y").select("token")
-    rows = spark.read.parquet(write_scratch(rows.join(common, "token", "left_semi").distinct(), "shared"))
-    drop_scratch(spark, path)
+    prefix = write_scratch(texts.mapInArrow(prefixes, "token long, sig long, n int, pos int"), "prefixes")
+    common = write_scratch(repeated(read(prefix), max(1, -(-(n_shingles or 0) // 4_000_000))), "common")
+    rows = stored(read(prefix).join(read(common), "token", "left_semi").distinct(), "shared")
+    drop_scratch(spark, prefix)
+    drop_scratch(spark, common)
 
     def apart(now: DataFrame) -> DataFrame:
         """The rows of shingles that are held in more than one component, with the component."""
         roots = nodes.join(components(now), "node", "left")
-        placed = rows.join(roots.select("sig", F.coalesce("root", "node").alias("root")), "sig")
-        placed = spark.read.parquet(write_scratch(placed, "placed"))
-        split = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-        return spark.read.parquet(write_scratch(placed.join(split, "token", "left_semi"), "apart"))
+        path = write_scratch(rows.join(roots.select("sig", F.coalesce("root", "node").alias("root")), "sig"), "placed")
+        split = read(path).groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+        out = stored(read(path).join(split, "token", "left_semi"), "apart")
+        drop_scratch(spark, path)
+        return out
 
     def of_size(a: str, b: str):
         return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        found = _verified(pairs, sets, similarity)
-        named = lambda c: nodes.select(F.col("sig").alias(c), F.col("node").alias("n" + c))
-        return spark.read.parquet(write_scratch(found.join(named("a"), "a").join(named("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")), "alike"))
-
-    now = apart(edges)
-    wanted = now.select("sig").distinct().join(nodes, "sig").select("sig", "holder")
-    wanted = spark.read.parquet(write_scratch(wanted, "wanted"))
-
     def named_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 own = [shingle_set(raw, shingle, seed) for raw in raw_texts(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([pa.array([signature(h) for h in own], pa.int64()), pa.array([h.tobytes() for h in own], pa.binary())], names=["sig", "h"])
+        release()
 
-    sets = texts.join(wanted.select(F.col("holder").alias("id")).distinct(), "id", "left_semi").select("text").mapInArrow(named_sets, "sig long, h binary")
-    sets = spark.read.parquet(write_scratch(sets.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "hashes"))
+    def links_of(pairs: DataFrame) -> DataFrame:
+        """The links that (a, b) pairs of signatures prove; only the sets of these pairs are made."""
+        pairs = stored(pairs, "pairs")
+        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(nodes, "sig").select("sig", "holder"), "wanted")
+        sets = texts.join(wanted.select(F.col("holder").alias("id")).distinct(), "id", "left_semi").select("text").mapInArrow(named_sets, "sig long, h binary")
+        path = write_scratch(sets.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "hashes")
+        named = lambda c: nodes.select(F.col("sig").alias(c), F.col("node").alias("n" + c))
+        found = _verified(pairs, read(path), similarity).join(named("a"), "a").join(named("b"), "b")
+        out = stored(found.select(F.col("na").alias("a"), F.col("nb").alias("b")), "alike")
+        drop_scratch(spark, path)
+        return out
 
+    now = apart(edges)
     hubs = now.groupBy("token").agg(F.min(F.struct("pos", "sig", "n", "root")).alias("hub"))
     star = now.join(hubs, "token").where((F.col("root") != F.col("hub.root")) & of_size("n", "hub.n"))
-    star = star.select(F.col("sig").alias("a"), F.col("hub.sig").alias("b")).distinct()
-    edges = edges.unionByName(links_of(star))
+    star = star.groupBy("sig", F.col("hub.sig").alias("hub")).agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.max(F.struct("c", "hub")).alias("best"))
+    edges = edges.unionByName(links_of(star.select(F.col("sig").alias("a"), F.col("best.hub").alias("b"))))
 
+    # Of similar sets the first shared shingle, in the global order, leaves enough behind it in both: every
+    # pair is met there, and a row of the join whose places rule that out need not be made.
+    alpha = similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6
     now = apart(edges)
     one = lambda c: now.select("token", *[F.col(x).alias(x + c) for x in ("sig", "n", "pos", "root")])
-    pairs = one("a").join(one("b"), "token").where((F.col("siga") < F.col("sigb")) & (F.col("roota") != F.col("rootb")) & of_size("na", "nb"))
-    pairs = pairs.groupBy(F.col("siga").alias("a"), F.col("sigb").alias("b"), "na", "nb").agg(F.count(F.lit(1)).alias("o"), F.max("posa").alias("pa"), F.max("posb").alias("pb"))
-    # Beyond their last shared shingle of the prefixes, no more can be shared than is left of either.
-    most = F.col("o") + F.least(F.expr("na - 1 - pa"), F.expr("nb - 1 - pb"))
-    pairs = pairs.where(most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6)
-    return edges.unionByName(links_of(pairs))
+    pairs = one("a").join(one("b"), "token").where((F.col("siga") < F.col("sigb")) & (F.col("roota") != F.col("rootb")) & of_size("na", "nb") & (F.least(F.expr("na - posa"), F.expr("nb - posb")) >= alpha))
+    edges = edges.unionByName(links_of(pairs.select(F.col("siga").alias("a"), F.col("sigb").alias("b")).distinct()))
+    edges = read(write_scratch(edges, "links"))
+    for path in scratch:
+        drop_scratch(spark, path)
+    return edges
 
 
 # ---------------------------------------------------------------- the operator
@@ -528,21 +486,18 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     component_id is the smallest doc_id reachable over links of fingerprints that differ in
     at most ``radius`` bits, the row's own included. With ``similarity``, texts whose
     fingerprints lie further apart are linked too if their shingle sets have that Jaccard
-    similarity, all of them: ``wide_links`` proposes most links cheaply, ``similar_links``
-    looks at every pair that is still apart, and each link is checked on its whole text. Repeated rows each come back. Rows with a null doc_id come back with component_id
+    similarity, all of them (``similar_links``), each on its whole text. Repeated rows each come back;
+    rows that share a doc_id are one document with several texts. Rows with a null doc_id come back with component_id
     null and link nothing. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     base = spark.read.parquet(write_scratch(fingerprints(docs, shingle, seed, doc_id, text, similarity is not None), "fp"))
-    best = [F.min("doc_id").alias("rep")] + ([F.min_by("fp2", "doc_id").alias("fp2")] if similarity is not None else [])
-    points = base.where("doc_id is not null").groupBy("fp").agg(*best)
+    points = base.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     points = spark.read.parquet(write_scratch(points, "points"))
-    edges = links(points.select("fp", "rep"), radius, bands)
+    edges = links(points, radius, bands)
     if similarity is not None:
-        wide = spark.read.parquet(write_scratch(wide_links(points), "wide"))
-        edges = edges.unionByName(similar_enough(docs, wide, similarity, shingle, seed, doc_id, text))
         edges = similar_links(docs, base, points, edges, similarity, shingle, seed, doc_id, text)
     roots = components(edges)
-    named = points.select("fp", "rep").join(roots, points.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    named = points.join(roots, points.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     out = base.join(named, "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -56,3 +56,26 @@ def test_sql(spark, name):
     plain_rows = lambda rows: sorted(tuple(repr(round(v, 6)) if isinstance(v, float) else repr(v) for v in r) for r in rows)
     picked = ", ".join(f'"{c}"' for c in columns)
     assert plain_rows(tuple(r) for r in df.select(*columns).collect()) == plain_rows(duck.sql(f"SELECT {picked} FROM ({queries.oracle_sql()[name]})").fetchall())
+
+
+def test_near_dedup_keeps_one_of_each_group(spark):
+    words = [f"word{i} of{i % 7}" for i in range(60)]
+    base, edited, other = " ".join(words), " ".join([*words[:-1], "changed"]), " ".join(reversed(words))
+    rows = [(3, base), (3, base), (3, edited), (5, edited), (None, base), (None, edited), (None, other), (None, other), (9, None), (None, None), (8, " \n"), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", 0) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()), key=repr)
+    assert kept == sorted([(3, edited), (8, " \n"), (None, other)], key=repr)
+
+
+def test_stages_take_odd_rows(spark):
+    huge = " ".join(f"w{(i * i) % 9973}" for i in range(40_000)) + " " + "x" * 50_000
+    rows = [(1, huge), (2, huge), (None, None), (None, ""), (4, None), (5, "The cat sat."), (5, "The cat sat."), (-6, "The cat sat."), (2**62, "é 漢字 <|endoftext|>")]
+    docs = spark.createDataFrame([(i, t, None, None, None, "clash", "clash") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, ids string, N_TOKENS string").repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        assert len(set(c.lower() for c in out.columns)) == len(out.columns)
+        if name not in ("quality classifier", "SimHash near-dedup"):
+            assert len(got) == len(rows), name
+        else:
+            assert len(got) <= len(rows)
