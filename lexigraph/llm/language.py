@@ -1,18 +1,17 @@
 """Language ID: a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of one word at a time, in both directions, and labels every
-byte with a probability of each language. A document's probabilities pool the log
-probabilities of all its labelled bytes. States start anew at each word, so equal words have
-equal labels, and a batch of documents runs the network once for each different word;
-frequent words are remembered (up to a fixed number). Words longer than ``PIECE`` bytes are
-read in pieces of that length; every byte is read.
-
-Words are runs of ASCII letters and of bytes beyond ASCII, A-Z lower-cased; digits, marks
-and white space are not labelled.
-
-Training, in numpy on the driver: backpropagation through time with Adam, over words of a
-bounded sample of labelled rows, those with the smallest hash of doc_id. From each sampled
-row at most ``row_words`` different words of the whole text come to the driver.
+The network reads a text's bytes in both directions and labels every byte with a probability of
+each language; a document's probabilities pool the log probabilities of the bytes of its words.
+Words are runs of ASCII letters and of bytes beyond ASCII, A-Z lower-cased, with one blank between
+them; digits, marks and white space are blanks, which the network reads but doesn't label.
+
+A text is read in chunks of ``CHUNK`` bytes, side by side. So that states don't start anew there,
+each direction first reads the ``CONTEXT`` bytes before its chunk; characters are never cut. Every
+byte of a whole text is labelled once, and a text's result doesn't depend on the texts beside it.
+
+Training, in numpy on the driver: backpropagation through time with Adam, over chunks drawn from
+the whole texts of a bounded sample of labelled rows: of each language, those with the smallest
+hash of doc_id, so a rare language is learned as well.
 """
 
 from __future__ import annotations
@@ -22,25 +21,40 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extended, raw_texts, slices, with_columns
+from .common import extended, raw_texts, release, slices, with_columns
 
-PIECE = 24
-REMEMBERED = 400_000
+CHUNK, CONTEXT = 96, 16
+SIDE = 1024
 UNKNOWN = "und"
 TO_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def words_of(raw: bytes) -> list[bytes]:
-    """The text's letter runs in pieces of at most PIECE bytes."""
-    words = raw.translate(TO_LETTERS).split()
-    if max(map(len, words), default=0) <= PIECE:
-        return words
-    return [w[a : a + PIECE] for w in words for a in range(0, len(w), PIECE)]
+def letters_of(raw: bytes) -> bytes:
+    """The text's words with one blank between them."""
+    return b" ".join(raw.translate(TO_LETTERS).split())
+
+
+def aligned(buffer: np.ndarray, at: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The places moved back to where a character begins, not below ``low``."""
+    for _ in range(3):
+        inside = (at > low) & (at < len(buffer))
+        at = at - (inside & ((buffer[np.minimum(at, len(buffer) - 1)] & 0xC0) == 0x80))
+    return at
+
+
+def chunked(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = CHUNK, context: int = CONTEXT) -> tuple[np.ndarray, ...]:
+    """(document, first, last, begin, end) of each chunk [first, last) of the documents [starts, ends) of a buffer, read from begin to end."""
+    n = -(-(ends - starts) // chunk)
+    doc = np.repeat(np.arange(len(starts)), n)
+    low, high = starts[doc], ends[doc]
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    first = aligned(buffer, low + k * chunk, low)
+    last = np.where(k + 1 < n[doc], aligned(buffer, low + (k + 1) * chunk, low), high)
+    return doc, first, last, aligned(buffer, np.maximum(low, first - context), low), np.where(last + context < high, aligned(buffer, last + context, low), high)
 
 
 def has_letter(raw: bytes) -> bool:
@@ -67,7 +81,7 @@ class Network:
     langs: list[str]
 
     @classmethod
-    def new(cls, langs: list[str], hidden: int = 16, embed: int = 12, seed: int = 0) -> Network:
+    def new(cls, langs: list[str], hidden: int = 12, embed: int = 12, seed: int = 0) -> Network:
         g = np.random.default_rng(seed)
         make = lambda a, b: (g.standard_normal((a, b)) / np.sqrt(a)).astype(np.float32)
         w = {"E": make(256, embed) * np.float32(np.sqrt(256) * 0.5), "V": make(2 * hidden, len(langs)), "c": np.zeros(len(langs), np.float32)}
@@ -101,14 +115,17 @@ class Network:
         o -= o.max(2, keepdims=True)
         return o - np.log(np.exp(o).sum(2, keepdims=True))
 
-    def word_sums(self, words: list[bytes]) -> np.ndarray:
-        """For each word the sum of its positions' log probabilities (word, language)."""
-        out = np.zeros((len(words), len(self.langs)), np.float32)
-        order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
-        for k in range(0, len(order), 2048):
-            part = order[k : k + 2048]
-            x, n = padded([words[i] for i in part])
-            out[part] = np.where((np.arange(x.shape[0])[:, None] < n)[:, :, None], self.labels(x, n), 0).sum(0)
+    def chunk_sums(self, buffer: np.ndarray, first: np.ndarray, last: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each chunk the sum of the log probabilities of its letters (chunk, language)."""
+        out = np.zeros((len(first), len(self.langs)), np.float32)
+        order = np.argsort(end - begin, kind="stable")
+        for k in range(0, len(order), SIDE):
+            part = order[k : k + SIDE]
+            n = (end - begin)[part]
+            at = begin[part] + np.arange(int(n.max()))[:, None]
+            x = buffer[np.minimum(at, len(buffer) - 1)]
+            own = (at >= first[part]) & (at < last[part]) & (x != 32)
+            out[part] = np.where(own[:, :, None], self.labels(x, n), 0).sum(0)
         return out
 
     def gradient(self, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -144,14 +161,21 @@ class Network:
             g["E"] += table @ w[f"W{d}"].T
         return loss, g
 
-    def train(self, words: list[bytes], y: np.ndarray, weight: np.ndarray, steps: int = 400, batch: int = 384, rate: float = 0.02, seed: int = 1) -> None:
-        """Adam over batches drawn with probability in proportion to ``weight``."""
-        rng, chance = np.random.default_rng(seed), weight / weight.sum()
+    def train(self, texts: list[bytes], y: np.ndarray, steps: int = 300, batch: int = 256, length: int = 40, rate: float = 0.02, seed: int = 1) -> None:
+        """Adam over batches of ``length`` bytes from anywhere in the texts, as many of each language."""
+        rng = np.random.default_rng(seed)
         first, second = ({k: np.zeros_like(v) for k, v in self.weights.items()} for _ in range(2))
-        drawn = rng.choice(len(words), (steps, batch), p=chance)
-        for step, rows in enumerate(drawn, 1):
-            x, n = padded([words[i] for i in rows])
-            _, g = self.gradient(x, n, y[rows])
+        buffer, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+        starts, total = ends - [len(t) for t in texts], [np.cumsum([len(t) if k == lang else 0 for t, k in zip(texts, y.tolist(), strict=True)]) for lang in range(len(self.langs))]
+        for step in range(1, steps + 1):
+            lang = rng.integers(0, len(self.langs), batch)
+            place = (rng.random(batch) * [total[k][-1] for k in lang]).astype(np.int64)
+            doc = np.array([np.searchsorted(total[k], p, side="right") for k, p in zip(lang, place, strict=True)])
+            begin = starts[doc] + place - np.array([total[k][d - 1] if d else 0 for k, d in zip(lang, doc, strict=True)])
+            begin = aligned(buffer, begin, starts[doc])
+            n = np.minimum(length, ends[doc] - begin)
+            x = buffer[np.minimum(begin + np.arange(length)[:, None], len(buffer) - 1)]
+            _, g = self.gradient(x, n, lang)
             pace = rate * (1 - step / (steps + 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, v in g.items():
                 first[k] = 0.9 * first[k] + 0.1 * v
@@ -160,54 +184,54 @@ class Network:
 
 
 class Scorer:
-    """Document probabilities, with words' sums remembered."""
+    """Document probabilities."""
 
     def __init__(self, network: Network):
-        self.network, self.row, self.sums = network, {}, np.zeros((0, len(network.langs)), np.float32)
+        self.network = network
 
     def documents(self, texts: list[bytes]) -> list[tuple[str, float]]:
         if not self.network.langs:
             return [(UNKNOWN, 0.0)] * len(texts)
-        per = [words_of(t) for t in texts]
-        if len(self.row) > REMEMBERED:
-            self.row, self.sums = {}, self.sums[:0]
-        new = list({w for ws in per for w in ws if w not in self.row})
-        if new:
-            self.row |= dict(zip(new, range(len(self.sums), len(self.sums) + len(new)), strict=True))
-            self.sums = np.concatenate((self.sums, self.network.word_sums(new)))
-        out, get = [], self.row.__getitem__
-        for text, ws in zip(texts, per, strict=True):
-            if not (ws and has_letter(text)):
+        flat = [letters_of(t) for t in texts]
+        buffer, ends = np.frombuffer(b"".join(flat), np.uint8), np.cumsum([len(f) for f in flat])
+        sums = np.zeros((len(texts), len(self.network.langs)))
+        if len(buffer):
+            doc, *spans = chunked(buffer, ends - [len(f) for f in flat], ends)
+            np.add.at(sums, doc, self.network.chunk_sums(buffer, *spans))
+        out = []
+        for text, own, total in zip(texts, flat, sums, strict=True):
+            if not (own and has_letter(text)):
                 out.append((UNKNOWN, 0.0))
                 continue
-            total = self.sums[np.fromiter(map(get, ws), np.int64, len(ws))].sum(0, dtype=np.float64) / sum(map(len, ws))
-            p = np.exp(total - total.max())
+            mean = total / (len(own) - own.count(b" "))
+            p = np.exp(mean - mean.max())
             p /= p.sum()
             out.append((self.network.langs[int(p.argmax())], float(p.max())))
         return out
 
 
-def train(docs: DataFrame, allowed: Column, sample: int = 3000, row_words: int = 64, steps: int = 400, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Network:
-    """A network from text and lang of the rows where ``allowed`` holds; rows with a null text or lang don't count.
+def train(docs: DataFrame, allowed: Column, sample: int = 250, steps: int = 300, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Network:
+    """A network from text and lang of the rows where ``allowed`` holds; rows with a null id, text or lang don't count.
 
-    Each language takes part with the same total weight. Without any row, a network without
-    languages, which answers ``und``.
+    Of each language ``sample`` rows take part, those with the smallest hash of doc_id, with their whole texts.
+    Languages weigh the same. Without any row, a network without languages, which answers ``und``.
     """
-    rows = docs.where(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    ids = rows.select("id").where("id is not null").orderBy(F.xxhash64("id"), "id").limit(sample)
+    rows = docs.where(allowed & F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    drawn = rows.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("id", "lang").distinct()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            drawn = [b" ".join(sorted(set(words_of(r)), key=lambda w: xxhash.xxh3_64_intdigest(w))[:row_words]) for r in raw_texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array(drawn, pa.binary())], names=["id", "lang", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array([letters_of(r) for r in raw_texts(batch.column("text"))], pa.binary())], names=["id", "lang", "letters"])
 
-    got = sorted(map(tuple, rows.join(F.broadcast(ids.distinct()), "id").mapInArrow(extract, "id long, lang string, words binary").collect()))
-    langs = sorted({g[1] for g in got})
-    pairs = [(w, langs.index(lang)) for _, lang, words in got for w in bytes(words).split()]
+    # Rows that repeat an id in one language count once, so that no more than the sample comes to the driver.
+    once = rows.join(F.broadcast(drawn), ["id", "lang"]).mapInArrow(extract, "id long, lang string, letters binary").groupBy("id", "lang").agg(F.min("letters").alias("letters"))
+    got = sorted((r.id, r.lang, bytes(r.letters)) for r in once.collect())
+    langs = sorted({lang for _, lang, letters in got if letters})
     network = Network.new(langs)
-    if pairs and len(langs) > 1:
-        y = np.array([k for _, k in pairs])
-        network.train([w for w, _ in pairs], y, (1 / np.bincount(y, minlength=len(langs)).clip(1))[y], steps)
+    if len(langs) > 1:
+        used = [(letters, langs.index(lang)) for _, lang, letters in got if letters]
+        network.train([t for t, _ in used], np.array([k for _, k in used]), steps)
     return network
 
 
@@ -223,9 +247,10 @@ def identify(docs: DataFrame, network: Network, text: str = "text", pred: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for whole in batches:
-            for batch in slices(whole, text, 4 << 20):
+            for batch in slices(whole, text, 1 << 20):
                 found = scorer.documents(raw_texts(batch.column(text)))
                 columns = with_columns(batch, {pred: pa.array([f[0] for f in found], pa.string()), score: pa.array([f[1] for f in found], pa.float64())})
                 yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema.fields], names=[f.name for f in schema.fields])
+        release()
 
     return docs.mapInArrow(run, schema)

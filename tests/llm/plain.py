@@ -7,6 +7,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import xxhash
 
 
@@ -118,3 +119,80 @@ def lm(rows, trained, mu):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def language(network, text, chunk, context):
+    """Probabilities of a text's languages, byte by byte without arrays over time, chunk by chunk of whole characters."""
+    w = {k: v.astype(float) for k, v in network.weights.items()}
+    words = "".join(c.lower() if c.isascii() and c.isalpha() else c if not c.isascii() else " " for c in text).split(" ")
+    flat = " ".join(x for x in words if x).encode()
+
+    def whole(at):
+        while 0 < at < len(flat) and flat[at] & 0xC0 == 0x80:
+            at -= 1
+        return min(at, len(flat))
+
+    def read(part, d):
+        h, out = np.zeros(w[f"U{d}"].shape[0]), []
+        k = len(h)
+        for b in part:
+            a = w["E"][b] @ w[f"W{d}"] + w[f"b{d}"]
+            r, z = (1 / (1 + np.exp(-(a[i * k : i * k + k] + h @ w[f"U{d}"][:, i * k : i * k + k]))) for i in (0, 1))
+            n = np.tanh(a[2 * k :] + (r * h) @ w[f"U{d}"][:, 2 * k :])
+            h = z * h + (1 - z) * n
+            out.append(h)
+        return out
+
+    total, count = np.zeros(len(network.langs)), 0
+    for first in range(0, len(flat), chunk):
+        a, b = whole(first), whole(first + chunk)
+        low, high = whole(max(0, a - context)), whole(b + context)
+        part = flat[low:high]
+        for i, (f, g) in enumerate(zip(read(part, "f"), read(part[::-1], "b")[::-1], strict=True)):
+            if a <= low + i < b and part[i] != 32:
+                o = np.concatenate((f, g)) @ w["V"] + w["c"]
+                total += o - np.log(np.exp(o).sum())
+                count += 1
+    p = np.exp(total / count)
+    return p / p.sum()
+
+
+def quality_features(raw, size, pair):
+    """Names of the indicators that a text sets, counted one at a time."""
+    marks = ".,!?%&$#*|<>()[{\"'-_/:;=@+"
+    kind = {**{ord(m): 5 + i for i, m in enumerate(marks)}, ord("]"): 5 + marks.index("["), ord("}"): 5 + marks.index("{")}
+
+    def of(b):
+        if 97 <= b <= 122 or b >= 128:
+            return 0
+        return 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 if b in (32, 9, 11, 12) else 4 if b in (10, 13) else kind.get(b, 31)
+
+    grams = Counter((of(raw[i]) * 32 + of(raw[i + 1])) * 32 + of(raw[i + 2]) for i in range(len(raw) - 2))
+    words = [xxhash.xxh3_64_intdigest(x) for x in raw.lower().split()]
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    form = set(grams) | {g + 32**3 for g, c in grams.items() if c * 64 >= len(raw)} | {2 * 32**3 + again.bit_length(), 2 * 32**3 + 32 + (32 * again // len(words) if words else 31)}
+    low = raw.lower()
+    start = 2 * 32**3 + 64
+    one = {start + mixed(x) % size for x in words} | {start + mixed((a * pair + b) % 2**64) % size for a, b in zip(words, words[1:], strict=False)}
+    two = {start + size + mixed(int.from_bytes(low[i : i + 4], "big")) % size for i in range(len(low) - 3)}
+    return form | one | two
+
+
+def mixed(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor % 2**64
+    return x ^ x >> 31
+
+
+def hinge(rows, y, cost, size, epochs, seed):
+    """Dual coordinate descent, one number at a time; rows: {feature: value}."""
+    w, b, alpha, rng = [0.0] * size, 0.0, [0.0] * len(rows), np.random.default_rng(seed)
+    for _ in range(epochs):
+        for i in rng.permutation(len(rows)).tolist():
+            gradient = y[i] * (sum(w[k] * v for k, v in rows[i].items()) + b) - 1
+            new = min(max(alpha[i] - gradient / (sum(v * v for v in rows[i].values()) + 1), 0.0), cost[i])
+            for k, v in rows[i].items():
+                w[k] += (new - alpha[i]) * y[i] * v
+            b += (new - alpha[i]) * y[i]
+            alpha[i] = new
+    return w, b

@@ -472,6 +472,30 @@ def test_gradient_of_the_network():
             assert (loss[0] - loss[1]) / 2e-3 == pytest.approx(grad[at], abs=2e-3), name
 
 
+def test_network_reads_as_byte_by_byte():
+    net = language.Network.new(["a", "b", "c"], hidden=5, embed=4, seed=3)
+    texts = ["One word", "é 漢字漢字漢字 mixed with Latin, 12 marks!", "x" * 300, "kurz und gut " * 40, "🙂" * 60, "a", "ab 9 cd"]
+    for chunk, context in ((language.CHUNK, language.CONTEXT), (7, 3), (10, 0)):
+        flat = [language.letters_of(t.encode()) for t in texts]
+        buffer, ends = np.frombuffer(b"".join(flat), np.uint8), np.cumsum([len(f) for f in flat])
+        doc, *spans = language.chunked(buffer, ends - [len(f) for f in flat], ends, chunk, context)
+        sums = np.zeros((len(texts), 3))
+        np.add.at(sums, doc, net.chunk_sums(buffer, *spans))
+        for t, f, total in zip(texts, flat, sums, strict=True):
+            p = np.exp(total / (len(f) - f.count(b" ")))
+            assert p / p.sum() == pytest.approx(plain.language(net, t, chunk, context), abs=1e-4), (t, chunk)
+
+
+def test_a_rare_language_is_learned(spark):
+    rng = np.random.default_rng(9)
+    word = lambda letters: "".join(rng.choice(list(letters), 6))
+    rows = [(i, " ".join(word("abcdef") for _ in range(20)), "common") for i in range(2000)] + [(5000 + i, " ".join(word("uvwxyz") for _ in range(20)), "rare") for i in range(3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    net = language.train(d.unionByName(d.limit(50)), F.lit(True), sample=40, steps=60)
+    assert net.langs == ["common", "rare"]
+    assert [x[0] for x in language.Scorer(net).documents([b"vwxyzu wwxyzz", b"abcdef fedcba"])] == ["rare", "common"]
+
+
 def test_language_id(spark, odd, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     network = language.train(d, ~common.fold("doc_id", 4).isin(2, -1))
@@ -508,6 +532,34 @@ def test_quality(spark, odd, empty):
     assert 0 <= quality.train(d, mixed, F.lit(True)).score(b"text") <= 1
 
 
+def test_quality_features_as_counted_one_by_one():
+    texts = [b"", b"a", b"the cat sat on a mat", b"xqz zzv kqj ww q pfh", "É é 漢字 Ab1 [x] {y} a a a A a\r\n#!".encode(), b"tab\tand  two   blanks " * 30]
+    for raw in texts:
+        got = quality.features(raw)
+        assert len(set(got.tolist())) == len(got) and (np.diff(got)[len(got) and got[:-1] >= quality.FORM] > 0).all()
+        assert set(got.tolist()) == plain.quality_features(raw, quality.HASHED, int(quality.PAIR))
+    assert set(quality.features(texts[2]).tolist()) != set(quality.features(texts[3]).tolist())
+
+
+def test_dual_coordinate_descent_as_in_plain_loops():
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 30, 8)) for _ in range(50)]
+    values = [rng.normal(size=len(x)) for x in rows]
+    y, cost = np.where(rng.random(50) < 0.4, 1.0, -1.0), rng.uniform(0.05, 0.5, 50)
+    w, b = quality.descend(rows, values, y, cost, 30, epochs=7, seed=2, settled=0.0)
+    want, bias = plain.hinge([dict(zip(x.tolist(), v.tolist(), strict=True)) for x, v in zip(rows, values, strict=True)], y.tolist(), cost.tolist(), 30, 7, 2)
+    assert w == pytest.approx(np.array(want), abs=1e-9) and b == pytest.approx(bias, abs=1e-9)
+
+
+def test_words_decide_where_forms_are_alike(spark):
+    rng = np.random.default_rng(10)
+    good, bad = ["clear", "plain", "exact", "sound"], ["cheap", "crazy", "dirty", "nasty"]
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad, 12))) for i in range(400)]
+    d, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    model = quality.train(d, labels, F.col("doc_id") < 300)
+    assert np.mean([(model.score(t.encode()) >= 0.5) == i % 2 for i, t in rows[300:]]) > 0.97
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(6)
     rows = [np.unique(np.concatenate((rng.integers(0, 40, 12), [60 + y]))) for y in (0, 1) for _ in range(60)]
