@@ -11,8 +11,13 @@ UNITS = {"m": 0.001, "km": 1.0, "mi": 1.609344, "ft": 0.0003048, "yd": 0.0009144
 NAMES = {"metre": "m", "metres": "m", "meter": "m", "meters": "m", "kilometre": "km", "kilometres": "km", "kilometer": "km", "kilometers": "km", "kms": "km", "mile": "mi", "miles": "mi", "foot": "ft", "feet": "ft", "yard": "yd", "yards": "yd", "nm": "nmi"}
 MAX_RADIUS = 20_000.0
 
-_NUMBER = r"[+-]?\d+(?:\.\d+)?"
-_PART = re.compile(rf"\s*(?P<h1>[NSEW])?\s*(?P<d>{_NUMBER})\s*(?:°|º|deg(?:rees)?|d)?\s*(?:(?P<m>\d+(?:\.\d+)?)\s*(?:'|m(?:in)?)\s*)?(?:(?P<s>\d+(?:\.\d+)?)\s*(?:\"|s(?:ec)?)\s*)?(?P<h2>[NSEW])?\s*(?:,|;|/|$|\s)", re.I)
+_PART = re.compile(
+    r"""\s* (?P<before>[NSEW])? \s*
+    (?P<sign>[+-])? (?P<degrees>\d+(?:\.\d+)?)
+    (?: \s* (?:°|º|deg(?:rees)?|d) \s* (?: (?P<minutes>\d+(?:\.\d+)?) \s* (?:'|m(?:in)?) \s* )? (?: (?P<seconds>\d+(?:\.\d+)?) \s* (?:"|s(?:ec)?) )? )?
+    \s* (?P<after>[NSEW])? \s* (?:,|;|/|$|\s)""",
+    re.I | re.X,
+)
 _MARKS = str.maketrans({"′": "'", "’": "'", "‘": "'", "″": '"', "“": '"', "”": '"', "−": "-", "–": "-"})
 
 
@@ -24,34 +29,37 @@ def parse_coordinates(text: str) -> tuple[float, float] | None:
     text = unicodedata.normalize("NFC", text).translate(_MARKS).replace("''", '"').strip()
     if not text or not re.search(r"\d", text):
         return None
-    values: list[tuple[float, str]] = []
-    at = 0
+    parts, at = [], 0
     while at < len(text):
         m = _PART.match(text, at)
-        if not m or m.end() == at:
+        if not m:
             return None
-        degrees, minutes, seconds = float(m["d"]), float(m["m"] or 0), float(m["s"] or 0)
-        if minutes >= 60 or seconds >= 60:
-            raise ValueError("minutes and seconds must be below 60")
-        size = abs(degrees) + minutes / 60 + seconds / 3600
-        letter = ((m["h1"] or "") + (m["h2"] or "")).upper()
-        if len(letter) > 1:
-            return None
-        negative = m["d"].startswith("-") or letter in ("S", "W")
-        values.append((-size if negative else size, letter))
+        parts.append(m)
         at = m.end()
-    if len(values) != 2:
+    if len(parts) != 2 or any(m["before"] and m["after"] for m in parts):
         return None
-    (a, x), (b, y) = values
-    if x in ("E", "W") or y in ("N", "S"):
-        if (x and x not in "EW") or (y and y not in "NS"):
-            raise ValueError("two latitudes or two longitudes")
-        a, b = b, a
-    if not -90 <= a <= 90:
-        raise ValueError(f"latitude {a:g} is out of range")
-    if not -180 <= b <= 180:
-        raise ValueError(f"longitude {b:g} is out of range")
-    return a, b
+    angles = [_angle(m) for m in parts]
+    axes = ["" if not letter else "lat" if letter in "NS" else "lon" for _, letter in angles]
+    if axes[0] and axes[0] == axes[1]:
+        raise ValueError("two latitudes or two longitudes")
+    swapped = axes[0] == "lon" or axes[1] == "lat"
+    lat, lon = (x for x, _ in (reversed(angles) if swapped else angles))
+    for name, x, most in (("latitude", lat, 90), ("longitude", lon, 180)):
+        if abs(x) > most:
+            raise ValueError(f"{name} {x:g} is out of range")
+    return lat, lon
+
+
+def _angle(m: re.Match) -> tuple[float, str]:
+    """(degrees, hemisphere letter or '') of one coordinate; a sign and a letter contradict each other."""
+    letter = (m["before"] or m["after"] or "").upper()
+    if letter and m["sign"]:
+        raise ValueError("a coordinate has a sign or a letter, not both")
+    minutes, seconds = float(m["minutes"] or 0), float(m["seconds"] or 0)
+    if max(minutes, seconds) >= 60:
+        raise ValueError("minutes and seconds must be below 60")
+    size = float(m["degrees"]) + minutes / 60 + seconds / 3600
+    return (-size if m["sign"] == "-" or letter in ("S", "W") else size), letter
 
 
 def parse_radius(text: str) -> float:
