@@ -128,22 +128,24 @@ def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is configured."""
+    """The cluster's shared folder; a local one only in local mode, and where none is configured."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lexigraph-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def write_scratch(df: DataFrame, name: str, by: str | None = None) -> str:
-    """Writes a table to the shared folder, and its path; the lineage ends there.
+def write_scratch(df: DataFrame, name: str, by: str | None = None, root: str | None = None) -> str:
+    """Writes a table to the shared folder (or ``root``, shared too), and its path; the lineage ends there.
 
     Shuffle files of the write are removed once it has ended, where Spark offers that:
     nothing reads them again, and they would otherwise stay beside the table.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/lexigraph-{name}-{uuid.uuid4().hex}"
+    path = f"{root or scratch_root(spark)}/lexigraph-{name}-{uuid.uuid4().hex}"
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")

@@ -153,7 +153,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, span: int =
     above), with the score from 0 to 1; the words
     are those of the aligned stretch of the document. A null or empty text holds nothing, a
     null item or one without words is held nowhere, and null ids are carried along. Items
-    shorter than ``n`` words are sought as one whole gram. Repeated rows come back each;
+    shorter than ``n`` words are sought as one whole gram: a one-word item is held by every text with that word. Repeated rows come back each;
     items that repeat an id and text count once. Empty tables give an empty result.
     """
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -173,7 +173,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, span: int =
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 3, span: int = 4, threshold: float = 0.5, passage: int = 13, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item (see ``contamination``), in their partitions; nothing is shuffled."""
+    """The rows of ``docs`` that hold no item (see ``contamination``), in their partitions; nothing is shuffled.
+
+    Rows with a null or empty text hold nothing and stay; repeated rows stay or go alike, and ids play no part. Null
+    and wordless items are held nowhere; a one-word item is held by every text with that word. Empty tables are fine.
+    """
     for seeded in seeded_items(docs, benchmark, n, span, text, item_id, item_text):
 
         def clean(batches: Iterator[pa.RecordBatch], seeded=seeded) -> Iterator[pa.RecordBatch]:

@@ -251,10 +251,12 @@ def score(docs: DataFrame, model: Model, mu: float = 16.0, doc_id: str = "doc_id
     text; a null text counts as empty. n_known counts tokens with c > 0, c being the exact
     count in training. base_score sums log10((c + 0.1) / (N + 0.1 (V + 1))), score sums
     log10 P(w | h). Repeated rows come back each; without training tokens (N = V = 0) all
-    tokens are unknown and have probability 1 in both.
+    tokens are unknown and have probability 1 in both. A kept column that is named like one of the
+    others gives way to it.
     """
     spark = docs.sparkSession
-    keep = keep or []
+    outputs = {"n_tokens", "n_known", "train_tokens", "base_score", "score", doc_id.lower()}
+    keep = [k for k in keep or [] if k.lower() not in outputs]
     state = docs.select(doc_id, *keep, F.col(text).cast("string").alias("_lx_text"), F.lit(None).cast("binary").alias("_lx_levels"), F.lit(0.0).alias("_lx_base"), F.lit(0).cast("long").alias("_lx_known"))
     result = f"{doc_id} {dict(docs.dtypes)[doc_id]}" + "".join(f", `{k}` {dict(docs.dtypes)[k]}" for k in keep) + ", n_tokens long, n_known long, train_tokens long, base_score double, score double"
     total, vocabulary, path = model.tokens, model.words, None

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import extended, raw_texts, slices, with_columns
+from .common import extended, raw_texts, release, slices, with_columns
 
-CHUNK = 65_536
-OVERLAP = 1_024
+CHUNK = 16_384
+OVERLAP = 512
 AGREE = 4
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 BREAKS = " \t\n\x0b\x0c\r"
 
 
@@ -125,5 +125,6 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
                 n = counter.counts(raw)
                 columns = with_columns(batch, {"n_bytes": pa.array(map(len, raw), pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n], pa.bool_())})
                 yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema.fields], names=[f.name for f in schema.fields])
+        release()
 
     return docs.mapInArrow(run, schema)
