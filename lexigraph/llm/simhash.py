@@ -21,7 +21,7 @@ Equal fingerprints are collapsed before the search. A shard emits a spanning set
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -254,7 +254,7 @@ def links(points: DataFrame, radius: int = 4, bands: int | None = None, leaf: in
 
 # ---------------------------------------------------------------- the exact join
 
-SKETCH, PART = 24, 16  # bits of a shingle's hash that name its counter; counters of a part
+SKETCH, FILTER, PARTS = 23, 26, 8  # bits of a hash that name its counter, and its flag; bits that name a part of either
 
 
 def shingle_set(raw: bytes, shingle: int, seed: int) -> np.ndarray:
@@ -272,40 +272,56 @@ def rising(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < 128, counts, np.minimum(255, 72 + np.floor(8 * np.log2(np.maximum(counts, 1))))).astype(np.uint8)
 
 
-def shingle_counts(texts: DataFrame, shingle: int, seed: int) -> np.ndarray:
-    """About how many rows hold a shingle (``rising``), by the leading bits of its hash: 16 MB at any size."""
+def tallied(rows: DataFrame, places: Callable[[pa.RecordBatch], np.ndarray], bits: int, finish: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """How often each of 2^bits places comes, ``finish``ed to bytes in parts on the executors: 8 MB here, at any size."""
+    part = bits - PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             at, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64),) * 2
-            edges = np.searchsorted(at, np.arange(0, (1 << SKETCH) + 1, 1 << PART))
-            full = [(p, a, b) for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < b]
+            edges = np.searchsorted(at, np.arange(0, (1 << bits) + 1, 1 << part)).tolist()
+            full = [(p, a, b) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
             held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in full], pa.int32()), pa.array([planes(np.diff(at[a:b], prepend=p << PART).astype(np.uint16)) for p, a, b in full], pa.binary()), pa.array([planes(c[a:b].astype(np.uint32)) for _, a, b in full], pa.binary())], names=["part", "at", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in full], pa.int32()), pa.array([planes(np.diff(at[a:b], prepend=p << part).astype(np.uint32)) for p, a, b in full], pa.binary()), pa.array([planes(c[a:b].astype(np.uint32)) for _, a, b in full], pa.binary())], names=["part", "at", "c"])
 
-        for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
-                held += [(shingle_set(raw, shingle, seed) >> U64(64 - SKETCH)).astype(np.int64) for raw in raw_texts(batch.column("text"))]
-                if sum(map(len, held)) > 4_000_000:
-                    yield from flush()
+        for batch in batches:
+            held.append(places(batch))
+            if sum(map(len, held)) > 4_000_000:
+                yield from flush()
         yield from flush()
         release()
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros(1 << PART, np.int64)
+        total = np.zeros(1 << part, np.int64)
         for at, c in zip(table.column("at").to_pylist(), table.column("c").to_pylist(), strict=True):
-            total[np.cumsum(from_planes(at, np.uint16), dtype=np.int64)] += from_planes(c, np.uint32)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "c": [rising(total).tobytes()]})
-
-    out = np.zeros(1 << SKETCH, np.uint8)
-    packed = texts.select("text").mapInArrow(count, "part int, at binary, c binary").groupBy("part").applyInArrow(pack, "part int, c binary")
-    for part, c in packed.toLocalIterator():
-        out[part << PART : (part + 1) << PART] = np.frombuffer(c, np.uint8)
+            total[np.cumsum(from_planes(at, np.uint32), dtype=np.int64)] += from_planes(c, np.uint32)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "c": [finish(total).tobytes()]})
+
+    size = len(finish(np.zeros(1 << part, np.int64)))
+    out = np.zeros(size << PARTS, np.uint8)
+    for p, c in rows.mapInArrow(count, "part int, at binary, c binary").groupBy("part").applyInArrow(pack, "part int, c binary").collect():
+        out[p * size : (p + 1) * size] = np.frombuffer(c, np.uint8)
+    release()
     return out
 
 
+def shingle_counts(texts: DataFrame, shingle: int, seed: int) -> np.ndarray:
+    """About how many rows hold a shingle (``rising``), by the leading bits of its hash."""
+
+    def places(whole: pa.RecordBatch) -> np.ndarray:
+        own = [shingle_set(raw, shingle, seed) >> U64(64 - SKETCH) for batch in slices(whole, "text", 4 << 20) for raw in raw_texts(batch.column("text"))]
+        return np.concatenate([np.empty(0, U64), *own]).astype(np.int64)
+
+    return tallied(texts.select("text"), places, SKETCH, rising)
+
+
+def flags(tokens: DataFrame) -> np.ndarray:
+    """A bit for the leading bits of each token: what isn't flagged isn't among the tokens."""
+    return tallied(tokens.select("token"), lambda b: (b.column("token").to_numpy().view(U64) >> U64(64 - FILTER)).astype(np.int64), FILTER, lambda total: np.packbits(total > 0))
+
+
 def ordered_prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """The first n - need + 1 shingles in the global order (rare ones first, then by hash).
 
@@ -422,8 +438,19 @@ def similar_links(docs: DataFrame, base: DataFrame, points: DataFrame, edges: Da
         release()
 
     prefix = write_scratch(texts.mapInArrow(prefixes, "token long, sig long, n int, pos int"), "prefixes")
+    shared.destroy()
     common = write_scratch(repeated(read(prefix), max(1, -(-(n_shingles or 0) // 4_000_000))), "common")
-    rows = stored(read(prefix).join(read(common), "token", "left_semi").distinct(), "shared")
+    flagged = spark.sparkContext.broadcast(flags(read(common)))
+
+    def perhaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Without most of the shingles that only one set holds; the join does the rest."""
+        for batch in batches:
+            at = batch.column("token").to_numpy().view(U64) >> U64(64 - FILTER)
+            yield batch.filter(pa.array((flagged.value[(at >> U64(3)).astype(np.int64)] >> (7 - (at & U64(7))).astype(np.uint8)) & 1 == 1))
+
+    rows = stored(read(prefix).mapInArrow(perhaps, "token long, sig long, n int, pos int").join(read(common), "token", "left_semi").distinct(), "shared")
+    flagged.destroy()
+    release()
     drop_scratch(spark, prefix)
     drop_scratch(spark, common)
 
@@ -497,6 +524,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     edges = links(points, radius, bands)
     if similarity is not None:
         edges = similar_links(docs, base, points, edges, similarity, shingle, seed, doc_id, text)
+    several = base.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
+    edges = edges.unionByName(base.join(several, "doc_id").join(points, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     roots = components(edges)
     named = points.join(roots, points.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     out = base.join(named, "fp", "left")
