@@ -250,7 +250,7 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, size: int, block_bytes: int
     return out.withColumn("_lx_block", (of(first) + inside).cast("long")).drop("_lx_key", "_lx_range"), at + 1
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, batches: int = 3, block_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20, doc_id: str = "doc_id", text: str = "text", index: WindowIndex | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, batches: int = 2, block_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20, doc_id: str = "doc_id", text: str = "text", index: WindowIndex | None = None) -> DataFrame:
     """The rows with their repeated passages removed.
 
     A word goes if a window that covers it has a word sequence that also starts in a
