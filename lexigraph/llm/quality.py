@@ -147,6 +147,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, size: int = SIZE, smoothing:
     own = [rows[i] for i in fitted]
     r = ratios(own, y[fitted], size, smoothing)
     known = r != 0
+    own = [x[known[x]] for x in own]
     n1 = max(1, int((y[fitted] > 0).sum()))
     balance = np.where(y[fitted] > 0, len(fitted) / (2 * n1), len(fitted) / (2 * max(1, len(fitted) - n1)))
     w, b = descend(own, [r[x] * scales(x, known) for x in own], y[fitted], cost * balance, size, epochs)
@@ -172,7 +173,7 @@ def _logistic(margin: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(t[0] / scale), float(t[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = 8192, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+def train(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = 4096, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """A model from the labelled rows for which ``allowed`` (over doc_id) holds.
 
     Rows with a null id, a label other than 0 or 1, or contradicting labels of one id don't
@@ -189,8 +190,11 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = 819
 
     # A repeated doc_id counts once, by the least of its rows' features.
     once = chosen.mapInArrow(extract, "id long, f binary, y int").groupBy("id").agg(F.min("f").alias("f"), F.min("y").alias("y"))
-    got = sorted((r.id, r.y, bytes(r.f)) for r in once.collect())
-    return fit([np.frombuffer(f, np.int32).astype(np.int64) for _, _, f in got], np.array([y for _, y, _ in got], np.int64))
+    got = sorted(((r.id, r.y, np.frombuffer(bytes(r.f), np.int32)) for r in once.toLocalIterator()), key=lambda r: r[0])
+    model = fit([f for _, _, f in got], np.array([y for _, y, _ in got], np.int64))
+    del got
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
