@@ -335,6 +335,12 @@ def test_simhash(odd, bands):
     assert multiset((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got) == multiset((i, f, want.get(i)) for (i, _), f in zip(rows, fps, strict=True))
 
 
+def test_rows_of_one_id_link_what_they_are_like(spark):
+    rows = [(1, "alpha beta gamma delta"), (3, "alpha beta gamma delta"), (3, "one two three four"), (7, "one two three four"), (8, "else where")]
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (3, 1), (7, 1), (8, 8)}
+
+
 def test_simhash_of_documents(docs, empty):
     rows = pairs(docs)
     want = plain.groups([i for i, _ in rows], [plain.fingerprint(t) for _, t in rows])
