@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..store import settled
+from ..store import discard, settled
 from .ranking import percentile, ranked, sample
 
 MAX_HOPS = 10
@@ -37,10 +37,13 @@ def redirect_targets(pages: DataFrame, redirects: DataFrame, articles: DataFrame
     named = articles.select("page_id", "title").withColumn("final", F.lit(True)).unionByName(sources.select(F.col("rd_from").alias("page_id"), "title").withColumn("final", F.lit(False)))
     valid = redirects.where("rd_namespace = 0 AND coalesce(rd_interwiki, '') = ''").select("rd_from", "rd_title")
     step = settled(valid.join(sources, "rd_from", "left_semi").join(named, valid.rd_title == named.title).select("rd_from", F.col("page_id").alias("to"), "final"), "redirects")
-    done, open_ = step.where("final").select("rd_from", "to"), step.where("NOT final").select("rd_from", "to")
-    rounds = [done]
+    rounds = [step.where("final").select("rd_from", "to")]
+    hop = step.select(F.col("rd_from").alias("to"), F.col("to").alias("next"), "final")
+    open_ = step.where("NOT final").select("rd_from", "to")
     for _ in range(hops - 1):
-        following = open_.join(step.select(F.col("rd_from").alias("to"), F.col("to").alias("next"), "final"), "to").select("rd_from", F.col("next").alias("to"), "final")
+        if open_.isEmpty():
+            break
+        following = settled(open_.join(hop, "to").select("rd_from", F.col("next").alias("to"), "final"), "redirects")
         rounds.append(following.where("final").select("rd_from", "to"))
         open_ = following.where("NOT final").select("rd_from", "to")
     out = reduce(DataFrame.unionByName, rounds)
@@ -99,6 +102,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleranc
     weighted = settled(edges.join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("out")).alias("w")).repartition("src"), "weighted")
     base = settled(nodes.select("idx").join(out, nodes.idx == out.src, "left").select("idx", F.col("out").isNull().alias("dangling")), "base")
     scores, residual, mass = base.withColumn("score", F.lit(1.0 / n)), float("inf"), base.where("dangling").count() / n
+    last = None
     for done in range(1, max_iterations + 1):
         gathered = weighted.join(scores.select(F.col("idx").alias("src"), "score"), "src").groupBy(F.col("dst").alias("idx")).agg(F.sum(F.col("score") * F.col("w")).alias("s"))
         raw = scores.join(gathered, "idx", "left").select("idx", "dangling", F.col("score").alias("old"), (F.lit((1 - damping) / n) + damping * (F.coalesce("s", F.lit(0.0)) + mass / n)).alias("raw"))
@@ -107,8 +111,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleranc
         scores = raw.select("idx", "dangling", (F.col("raw") / total).alias("score"), "old")
         residual, mass = scores.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.sum(F.when(F.col("dangling"), F.col("score")).otherwise(0.0))).first()
         scores = scores.drop("old")
+        if last is not None:
+            discard(last)
+        last = raw
         if residual < tolerance:
             break
+    discard(weighted)
     return scores.select("idx", "score"), done, residual
 
 
@@ -181,6 +189,14 @@ def profile(nodes: DataFrame, ranks: dict[str, DataFrame], edges: DataFrame, idx
 # ---------------------------------------------------------------- paths
 
 
+SMALL_FRONTIER = 200_000
+
+
+def _near(front: DataFrame, size: int) -> DataFrame:
+    """A frontier of (node): broadcast up to ``SMALL_FRONTIER`` rows that were counted, so that edges stay where they are."""
+    return F.broadcast(front) if size <= SMALL_FRONTIER else front
+
+
 @dataclass
 class Path:
     nodes: list[int] | None
@@ -201,11 +217,20 @@ def shortest_path(edges: DataFrame, start: int, goal: int, max_levels: int = 20)
     spark = edges.sparkSession
     if start == goal:
         return Path([start], 1)
-    first = lambda x: spark.createDataFrame([(x, None, 0)], "node long, parent long, dist int")
-    sides = [{"seen": first(start), "front": first(start), "edges": edges.select("src", "dst"), "dist": 0}, {"seen": first(goal), "front": first(goal), "edges": reverse_edges(edges), "dist": 0}]
-    for side in sides:
-        side["next"] = settled(side["front"].join(side["edges"], F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.col("src").alias("parent")), "frontier")
+    whole = settled(edges.select("src", "dst"), "edges")
+
+    def expanded(side: dict) -> None:
+        """The edges out of the side's frontier, as a table, and how many."""
+        met = whole.join(_near(side["front"].select(F.col("node").alias(side["from"])), side["front_size"]), side["from"])
+        side["next"] = settled(met.select(F.col(side["to"]).alias("node"), F.col(side["from"]).alias("parent")), "frontier")
         side["size"] = side["next"].count()
+
+    sides = []
+    for node, own, to in ((start, "src", "dst"), (goal, "dst", "src")):
+        first = spark.createDataFrame([(node, None, 0)], "node long, parent long, dist int")
+        sides.append({"seen": first, "front": first, "front_size": 1, "from": own, "to": to, "dist": 0})
+        expanded(sides[-1])
+    found = Path(None, 0)
     for _ in range(max_levels):
         k = 0 if sides[0]["size"] <= sides[1]["size"] else 1
         side, other = sides[k], sides[1 - k]
@@ -214,13 +239,17 @@ def shortest_path(edges: DataFrame, start: int, goal: int, max_levels: int = 20)
         side["dist"] += 1
         new = side["next"].groupBy("node").agg(F.min("parent").alias("parent")).join(side["seen"], "node", "left_anti").withColumn("dist", F.lit(side["dist"]))
         side["front"] = settled(new, "level")
+        side["front_size"] = side["front"].count()
         side["seen"] = side["seen"].unionByName(side["front"])
         met = side["front"].join(other["seen"].select("node", F.col("dist").alias("far")), "node").orderBy("far", "node").first()
         if met:
-            return Path(_walk(sides[0]["seen"], met.node)[::-1] + _walk(sides[1]["seen"], met.node)[1:], sides[0]["seen"].count() + sides[1]["seen"].count())
-        side["next"] = settled(side["front"].join(side["edges"], F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.col("src").alias("parent")), "frontier")
-        side["size"] = side["next"].count()
-    return Path(None, sides[0]["seen"].count() + sides[1]["seen"].count())
+            found = Path(_walk(sides[0]["seen"], met.node)[::-1] + _walk(sides[1]["seen"], met.node)[1:], 0)
+            break
+        discard(side["next"])
+        expanded(side)
+    found.visited = sum(side["seen"].count() for side in sides)
+    discard(whole)
+    return found
 
 
 def _walk(seen: DataFrame, node: int) -> list[int]:
@@ -233,12 +262,15 @@ def _walk(seen: DataFrame, node: int) -> list[int]:
 def levels(edges: DataFrame, start: int, max_levels: int = 20) -> DataFrame:
     """(node, level): the distance of every node that is reached from ``start`` within ``max_levels`` links."""
     spark = edges.sparkSession
-    front = spark.createDataFrame([(start, 0)], "node long, level int")
+    whole = settled(edges.select("src", "dst"), "edges")
+    front, size = spark.createDataFrame([(start, 0)], "node long, level int"), 1
     seen = front
     for level in range(1, max_levels + 1):
-        reached = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+        reached = whole.join(_near(front.select(F.col("node").alias("src")), size), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         front = settled(reached.withColumn("level", F.lit(level)), "level")
-        if front.isEmpty():
+        size = front.count()
+        if not size:
             break
         seen = seen.unionByName(front)
+    discard(whole)
     return seen

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 import tomllib
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields, replace
+from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,15 +55,24 @@ class Build:
     source: str
     target: str
     settings: Settings = field(default_factory=Settings)
+    inputs: tuple[str, ...] = ()  # what the stage that runs needs
 
     def path(self, name: str) -> str:
         return f"{self.target}/{name}.parquet"
 
     def read(self, name: str) -> DataFrame:
-        return read_dataset(self.spark, self.path(name))
+        return read_dataset(self.spark, self.path(name), settings=fingerprint(asdict(self.settings)))
+
+    def manifest(self, name: str) -> dict | None:
+        """The data set's manifest, if it was built with these settings."""
+        meta = read_json(self.spark, f"{self.path(name)}.meta.json")
+        return meta if meta and meta.get("settings") == fingerprint(asdict(self.settings)) else None
+
+    def built(self, names: tuple[str, ...]) -> dict[str, str | None]:
+        return {n: (self.manifest(n) or {}).get("built") for n in names}
 
     def write(self, name: str, df: DataFrame, sort: list[str] | None = None, **meta: Any) -> None:
-        write_dataset(df, self.path(name), {"settings": fingerprint(asdict(self.settings))} | meta, sort=sort)
+        write_dataset(df, self.path(name), {"settings": fingerprint(asdict(self.settings)), "inputs": self.built(self.inputs)} | meta, sort=sort)
 
     def file(self, name: str) -> str:
         return f"{self.source}/{name}"
@@ -183,17 +194,23 @@ STAGES = [
 
 
 def done(b: Build, stage: Stage) -> bool:
-    """All that the stage makes is there, complete."""
-    return all(exists(b.spark, f"{b.path(n)}.meta.json") for n in stage.makes)
+    """All that the stage makes is there, with these settings, and was built from the inputs that are there now."""
+    made = [b.manifest(n) for n in stage.makes]
+    return all(made) and all(m.get("inputs", {}) == b.built(stage.needs) for m in made)
 
 
 def missing(b: Build, stage: Stage) -> list[str]:
-    return [n for n in stage.needs if not exists(b.spark, f"{b.path(n)}.meta.json")]
+    return [n for n in stage.needs if not b.manifest(n)]
+
+
+#: Runs that the log keeps.
+RUNS = 50
 
 
 def run_all(b: Build, stages: list[Stage] | None = None) -> list[tuple[str, str]]:
     """Runs what isn't done, in order, and stops at the first failure: (stage, done, ran, skipped or failed: why)."""
     out: list[tuple[str, str]] = []
+    seconds: dict[str, float] = {}
     for stage in stages or STAGES:
         if stage.by_hand:
             out.append((stage.name, "skipped"))
@@ -203,11 +220,18 @@ def run_all(b: Build, stages: list[Stage] | None = None) -> list[tuple[str, str]
             out.append((stage.name, f"failed: no {', '.join(lacking)}"))
             break
         else:
+            began = time.monotonic()
+            b.inputs = stage.needs
             try:
                 stage.run(b)
             except Exception as e:  # a stage's failure is reported, and the rest isn't tried
                 out.append((stage.name, f"failed: {e}"))
                 break
+            finally:
+                seconds[stage.name] = round(time.monotonic() - began, 3)
+                b.inputs = ()
             out.append((stage.name, "ran"))
-    write_json(b.spark, f"{b.target}/runs.json", {"settings": asdict(b.settings), "stages": out})
+    log = read_json(b.spark, f"{b.target}/runs.json") or {}
+    run = {"ended": datetime.now(UTC).isoformat(timespec="seconds"), "settings": asdict(b.settings), "stages": out, "seconds": seconds}
+    write_json(b.spark, f"{b.target}/runs.json", {"runs": [*log.get("runs", []), run][-RUNS:]})
     return out

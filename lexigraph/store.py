@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir); a local one only in local mode, and where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lexigraph-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -28,6 +30,13 @@ def settled(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a settled table that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/lexigraph-" in folder:
+            remove(df.sparkSession, folder)
+
+
 def spread(df: DataFrame, small: int = 128 << 20) -> DataFrame:
     """A table estimated below ``small`` bytes dealt over all cores: it may lie in one row group, which one task reads.
 
@@ -55,14 +64,16 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
-    """Written beside and renamed, so a reader sees the whole file or none."""
+    """Written beside and renamed over what was there in one step, so a reader sees the old file or the new one."""
     fs, p = _fs(spark, path)
-    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.tmp-{uuid.uuid4().hex}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    beside = hadoop.Path(f"{path}.tmp-{uuid.uuid4().hex}")
     out = fs.create(beside, True)
     out.write(bytearray(json.dumps(value, sort_keys=True, indent=1).encode()))
     out.close()
-    fs.delete(p, False)
-    fs.rename(beside, p)
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(p), over)
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:
@@ -77,15 +88,16 @@ def read_json(spark: SparkSession, path: str) -> dict | None:
 
 
 def write_dataset(df: DataFrame, path: str, meta: dict | None = None, by: str | None = None, sort: list[str] | None = None) -> None:
-    """Writes to a folder beside and swaps it in; the manifest comes last and marks completeness."""
-    spark, beside = df.sparkSession, f"{path}.tmp-{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(beside, partitionBy=by)
-    fs, target = _fs(spark, path)
-    fs.delete(target, True)
-    fs.mkdirs(target.getParent())
-    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), target):
-        raise OSError(f"{beside} can't be renamed to {path}")
-    write_json(spark, f"{path}.meta.json", {"built": datetime.now(UTC).isoformat(timespec="seconds"), "columns": df.columns} | (meta or {}))
+    """Writes a new version beside the old one and then publishes the manifest that names it, in one step.
+
+    A crash at any point leaves the old manifest over the old version; the old version goes last.
+    """
+    spark, version = df.sparkSession, f"{path}/v-{uuid.uuid4().hex}"
+    before = read_json(spark, f"{path}.meta.json") or {}
+    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(version, partitionBy=by)
+    write_json(spark, f"{path}.meta.json", {"built": datetime.now(UTC).isoformat(timespec="microseconds"), "columns": df.columns, "data": version} | (meta or {}))
+    if before.get("data"):
+        remove(spark, before["data"])
 
 
 def read_dataset(spark: SparkSession, path: str, **needed) -> DataFrame:
@@ -96,7 +108,7 @@ def read_dataset(spark: SparkSession, path: str, **needed) -> DataFrame:
     stale = {k: v for k, v in needed.items() if meta.get(k) != v}
     if stale:
         raise RuntimeError(f"{path} was built from other inputs: {sorted(stale)}")
-    return spark.read.parquet(path)
+    return spark.read.parquet(meta["data"])
 
 
 def fingerprint(value: dict) -> str:

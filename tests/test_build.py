@@ -103,7 +103,12 @@ def source(tmp_path_factory):
 def test_whole_build(spark, source, tmp_path):
     b = stages.Build(spark, str(source), str(tmp_path / "out"), stages.Settings(tolerance=1e-4, shard_rows=2))
     assert dict(stages.run_all(b)) == {s.name: "skipped" if s.by_hand else "ran" for s in stages.STAGES}
-    assert dict(stages.run_all(b))["core"] == "done"
+    again = dict(stages.run_all(b))
+    assert all(again[s.name] == "done" for s in stages.STAGES if not s.by_hand), again
+    runs = read_json(spark, f"{b.target}/runs.json")["runs"]
+    assert len(runs) == 2 and runs[0]["seconds"]["core"] > 0 and not runs[1]["seconds"]
+    changed = stages.Build(spark, str(source), b.target, stages.Settings(tolerance=1e-3, shard_rows=2))
+    assert not any(stages.done(changed, s) for s in stages.STAGES)
     edges = {(r.src, r.dst) for r in b.read("edges").collect()}
     assert edges == {(0, 3), (0, 2), (0, 1), (1, 0), (2, 1), (2, 0)}
     assert {(r.src, r.dst) for r in b.read("edges_in").collect()} == edges
@@ -147,6 +152,9 @@ def test_stale_and_missing_data(spark, tmp_path):
         assert read_dataset(spark, path, version=rows).count() == rows
     with pytest.raises(RuntimeError):
         read_dataset(spark, path, version=3)
+    with pytest.raises(Exception):  # a write that fails leaves what was there
+        write_dataset(spark.range(5).selectExpr("1 / (id - 2) AS x", "raise_error('no') AS y"), path, {"version": 7})
+    assert read_dataset(spark, path, version=5).count() == 5
 
 
 def test_settings():
