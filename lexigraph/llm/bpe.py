@@ -19,6 +19,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import batched, chain
 
 import numpy as np
@@ -155,6 +156,11 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encoded(text.encode())[0], np.int32).tolist()
 
+    @cached_property
+    def decimals(self) -> list[str]:
+        """Each id in decimal, made once: looking one up costs less than writing it."""
+        return list(map(str, range(max(self.bytes_of) + 1)))
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode(errors="replace")
 
@@ -195,7 +201,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str
                 if ids:
                     new[ids] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 if ids_text:
-                    new[ids_text] = pa.array([",".join(map(str, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+                    new[ids_text] = pa.array([",".join(map(codec.decimals.__getitem__, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
                 if n_tokens:
                     new[n_tokens] = pa.array(np.diff(ends), pa.int64())
                 if decoded:
