@@ -383,7 +383,7 @@ def repeated(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.select("token").mapInArrow(gather, "bucket long, keys binary, again binary").groupBy("bucket").applyInArrow(merge, "token long")
 
 
-def similar_links(docs: DataFrame, base: DataFrame, points: DataFrame, edges: DataFrame, similarity: float, shingle: int, seed: int, doc_id: str, text: str, sample: int = 1 << 17) -> DataFrame:
+def similar_links(docs: DataFrame, base: DataFrame, points: DataFrame, edges: DataFrame, similarity: float, shingle: int, seed: int, doc_id: str, text: str) -> DataFrame:
     """``edges`` and (a, b) links with which all texts of that similarity are in one component.
 
     ``base``: (doc_id, fp, sig, n); ``points``: (fp, rep), the nodes. Exact but for the hash: an
@@ -395,8 +395,8 @@ def similar_links(docs: DataFrame, base: DataFrame, points: DataFrame, edges: Da
     2. Every pair that shares a shingle and still lies in two components is checked, unless the
        lengths or the places of the shared shingle already rule it out.
 
-    The counts behind the order come from ``sample`` rows. They decide how many pairs are
-    looked at, never which are found.
+    The counts behind the order are those of all rows, summed by the leading bits of a shingle's hash.
+    They decide how many pairs are looked at, never which are found.
     """
     spark = docs.sparkSession
     read = spark.read.parquet
@@ -412,9 +412,8 @@ def similar_links(docs: DataFrame, base: DataFrame, points: DataFrame, edges: Da
     edges = edges.unionByName(held.join(nodes.select("sig", "node"), "sig").where("rep <> node").select(F.col("rep").alias("a"), F.col("node").alias("b")))
     edges = stored(edges, "edges")
     texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    n_sets, n_shingles = nodes.agg(F.count(F.lit(1)), F.sum("n")).first()
-    share = min(1.0, sample / max(1, n_sets))
-    shared = spark.sparkContext.broadcast(shingle_counts(texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1), shingle, seed))
+    n_shingles = nodes.agg(F.sum("n")).first()[0]
+    shared = spark.sparkContext.broadcast(shingle_counts(texts, shingle, seed))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()

@@ -407,6 +407,26 @@ def test_every_pair_of_the_similarity_is_linked(spark):
     assert got == want and sum(want[i] != i for i in want) > 200
 
 
+def test_shingles_are_counted_in_every_row(spark, monkeypatch):
+    """The order of the join's shingles follows from all rows, however many there are."""
+    counted, n = [], 140_000
+
+    class Enough(Exception):
+        pass
+
+    def counting(texts, *_):
+        counted.append(texts.count())
+        raise Enough
+
+    monkeypatch.setattr(simhash, "shingle_counts", counting)
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"))
+    base = spark.read.parquet(common.write_scratch(simhash.fingerprints(docs, 5, sets=True), "fp"))
+    points = base.select("fp", F.col("doc_id").alias("rep"))
+    with pytest.raises(Enough):
+        simhash.similar_links(docs, base, points, spark.createDataFrame([], "a long, b long"), 0.8, 5, 42, "doc_id", "text")
+    assert counted == [n]
+
+
 def test_trees_and_bands_grow_with_the_rows():
     fps = np.random.default_rng(6).integers(0, 1 << 64, 3000, dtype=np.uint64)
     for depth in (3, 14, 20, 28):
