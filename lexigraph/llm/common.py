@@ -75,6 +75,12 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def released(value):
+    """The value, after what was needed to make it has gone back to the system."""
+    release()
+    return value
+
+
 # ---------------------------------------------------------------- hashing
 
 

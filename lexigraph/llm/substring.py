@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, bucket_bounds, drop_scratch, exists, extended, from_planes, mixed, pack_sorted, planes, raw_texts, total_bytes, unpack_sorted, word_hashes, write_scratch
+from .common import U64, bucket_bounds, drop_scratch, exists, extended, from_planes, mixed, pack_sorted, planes, raw_texts, released, total_bytes, unpack_sorted, word_hashes, write_scratch
 
 HISTORY = -1
 STEP, STEP2 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
@@ -184,12 +184,12 @@ class WindowIndex:
         buckets, window = self.buckets, self.window
 
         def windows(key: tuple, table: pa.Table) -> pa.Table:
-            return Block(table, doc_id, text, window).payloads(key[0].as_py(), buckets)
+            return released(Block(table, doc_id, text, window).payloads(key[0].as_py(), buckets))
 
         every = blocks.select("_lx_block", doc_id, text).groupBy("_lx_block").applyInArrow(windows, PAYLOAD_SQL)
         if self.runs:
             every = every.unionByName(_payloads(self.spark, [run for _, run in self.runs]).withColumn("kind", F.lit(RUN)))
-        merged = every.groupBy("bucket").applyInArrow(lambda table: merge_bucket(table, unordered), PAYLOAD_SQL)
+        merged = every.groupBy("bucket").applyInArrow(lambda table: released(merge_bucket(table, unordered)), PAYLOAD_SQL)
         run = self._written(merged if keep else merged.where(F.col("kind") == REPLY))
         if keep:
             self.runs.append((0, run))
@@ -200,7 +200,7 @@ class WindowIndex:
         for level in range(max((k for k, _ in self.runs), default=-1) + 1):
             own = [run for k, run in self.runs if k == level]
             if len(own) >= self.fanout:
-                whole = self._written(_payloads(self.spark, own).withColumn("kind", F.lit(RUN)).groupBy("bucket").applyInArrow(compact_bucket, PAYLOAD_SQL))
+                whole = self._written(_payloads(self.spark, own).withColumn("kind", F.lit(RUN)).groupBy("bucket").applyInArrow(lambda table: released(compact_bucket(table)), PAYLOAD_SQL))
                 self.runs = [r for r in self.runs if r[0] != level] + [(level + 1, whole)]
                 self.compactions += 1
                 self.save()
@@ -309,4 +309,4 @@ def substring_dedup(docs: DataFrame, window: int = 13, batches: int = 2, block_b
         new = {text: pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(block.sizes), "n_removed": pa.array(removed, pa.int64())}
         return pa.table({f: new[f] if f in new else ordered.column(f) for f in names})
 
-    return blocks.groupBy("_lx_block").cogroup(replies(spark, answers).groupBy("_lx_block")).applyInArrow(apply, schema)
+    return blocks.groupBy("_lx_block").cogroup(replies(spark, answers).groupBy("_lx_block")).applyInArrow(lambda key, table, bits: released(apply(key, table, bits)), schema)

@@ -1,5 +1,9 @@
 """Each operator against a brute-force version, over whole tables and over rows that are odd in every column."""
 
+import collections
+import os
+import tempfile
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -407,6 +411,24 @@ def test_every_pair_of_the_similarity_is_linked(spark):
     assert got == want and sum(want[i] != i for i in want) > 200
 
 
+def test_substring_gives_memory_back_after_each_group(spark, monkeypatch, tmp_path):
+    """Workers live on, so each block, bucket and compaction gives back what it took; results stay."""
+    marks, release = str(tmp_path), common.released
+
+    def marking(value):
+        name = "apply" if "n_removed" in value.column_names else "windows" if value.column("block")[0].as_py() >= 0 and set(value.column("kind").to_pylist()) == {substring.REPLY} else "merge"
+        tempfile.NamedTemporaryFile(prefix=f"{name}-", dir=marks, delete=False).close()
+        return release(value)
+
+    rows = [(i, " ".join(f"w{i % 5} v{k}" for k in range(60))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, substring.substring_dedup(docs, block_bytes=2000, bucket_bytes=4000).collect()))
+    monkeypatch.setattr(substring, "released", marking)
+    got = sorted(map(tuple, substring.substring_dedup(docs, block_bytes=2000, bucket_bytes=4000).collect()))
+    made = collections.Counter(f.split("-")[0] for f in os.listdir(marks))
+    assert got == want and made["windows"] == made["apply"] > 5 and made["merge"] > 2
+
+
 def test_shingles_are_counted_in_every_row(spark, monkeypatch):
     """The order of the join's shingles follows from all rows, however many there are."""
     counted, n = [], 140_000
