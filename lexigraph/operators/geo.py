@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bearing_deg, bounding_boxes, compass, haversine_km, in_boxes
+from ..store import settled
 
 SIGNAL_WEIGHT, LANGS_WEIGHT = 0.7, 0.3
 UNTYPED = "untyped"
+BLOCK, TASK_PAIRS, MOST_TASKS, MANY_CELLS = 2000, 16_000_000, 20_000, 200_000
 
 
 def split_type(column: Column) -> tuple[Column, Column]:
@@ -112,7 +114,9 @@ def near_many(centres: DataFrame, places: DataFrame, radius: float) -> DataFrame
     """(centre, page_id, dist) for many centres (centre, lat, lon): a join on grid cells with the exact distance behind it.
 
     Cells are ``radius`` high; a centre looks at the three rows of cells around its own and,
-    in each, at the cells that its circle can reach, so every pair meets exactly once.
+    in each, at the cells that its circle can reach, so every pair meets exactly once. What meets
+    grows with the square of a cell's points: cells are cut into blocks of about ``BLOCK`` centres by
+    as many places, dealt over so many tasks that each has about ``TASK_PAIRS`` pairs.
     """
     step = max(math.degrees(radius / 6371.0088), 1e-6)
     row = lambda lat: F.floor((lat + 90) / step)
@@ -128,10 +132,28 @@ def near_many(centres: DataFrame, places: DataFrame, radius: float) -> DataFrame
     last = F.least(last, first + F.col("_n") - 1)
     around = around.withColumn("_c", F.explode(F.sequence(first, last))).withColumn("_c", F.pmod(F.col("_c"), F.col("_n")))
     around = around.select("centre", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "_r", "_c")
-    met = around.join(placed.select("page_id", "lat", "lon", "_r", "_c"), ["_r", "_c"]).withColumn("dist", haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")))
+    met = _in_blocks(around, placed.select("page_id", "lat", "lon", "_r", "_c"), ["_r", "_c"]).withColumn("dist", haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")))
     return met.where(F.col("dist") <= radius).select("centre", "page_id", "dist")
 
 
+def _in_blocks(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join on ``keys``; every pair of a key's blocks of both sides is a key of its own."""
+    # A number for each row, written with it, so that a task that runs again cuts the same blocks.
+    left, right = (settled(x.withColumn("_h", F.xxhash64(F.monotonically_increasing_id())), "blocks") for x in (left, right))
+    a, b = (x.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for x, n in ((left, "_a"), (right, "_b")))
+    cut = settled(a.join(b, keys).withColumn("_m", F.ceil(F.col("_a") / BLOCK)).withColumn("_n", F.ceil(F.col("_b") / BLOCK)), "cut")
+    cells, pairs = cut.agg(F.count(F.lit(1)), F.sum(F.col("_a").cast("double") * F.col("_b"))).first()
+    sizes = cut.select(*keys, "_m", "_n")
+    sizes = F.broadcast(sizes) if cells <= MANY_CELLS else sizes
+    tasks = max(left.sparkSession.sparkContext.defaultParallelism, min(MOST_TASKS, math.ceil((pairs or 0) / TASK_PAIRS)))
+
+    def dealt(x: DataFrame, own: str, k: str, other: str, n: str) -> DataFrame:
+        blocks = x.join(sizes, keys).withColumn(own, F.pmod("_h", k)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+        return blocks.drop("_h", "_m", "_n").repartition(tasks, *keys, "_i", "_j")
+
+    return dealt(left, "_i", "_m", "_j", "_n").hint("merge").join(dealt(right, "_j", "_n", "_i", "_m"), [*keys, "_i", "_j"]).drop("_i", "_j")
+
+
 def top_near_many(centres: DataFrame, places: DataFrame, radius: float, n: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("centre").orderBy("dist", "page_id"))
     return near_many(centres, places, radius).withColumn("place", place).where(F.col("place") <= n)

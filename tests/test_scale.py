@@ -1,5 +1,7 @@
 """What larger and odder tables showed: results beyond a search's reach, work that is dealt in bounded pieces."""
 
+from collections import Counter
+
 import duckdb
 import pyarrow as pa
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexigraph import queries as core
 from lexigraph.functions import answers, batches
-from lexigraph.operators import fusion, keyword
+from lexigraph.operators import fusion, geo, keyword
 
 
 @pytest.mark.parametrize("n, want", [(9, 8), (10, None)])
@@ -83,3 +85,15 @@ def test_passages_are_cut_in_bounded_parts(spark):
     assert [tuple(r) for r in got] == [(k, *p) for k, t in docs for p in answers.split_passages([("", t or "")])]
     texts = pa.array(["a" * 3, None, "b" * 5, "c" * 20, "", "d"])
     assert [(s.start, s.stop) for s in batches.parts(texts, 8)] == [(0, 3), (3, 4), (4, 6)] and not list(batches.parts(texts[:0], 8))
+
+
+def test_crowded_cells_are_dealt_in_blocks(spark, monkeypatch):
+    """All points in one cell: the same pairs, with no task that gets more than a share of them."""
+    spots = spark.range(300).selectExpr("id AS page_id", "10 + id / 1000 AS lat", "20 + id / 1000 AS lon")
+    centres = spark.range(200).selectExpr("id AS centre", "10.0001 + id / 1000 AS lat", "20D AS lon")
+    want = {tuple(r) for r in spots.crossJoin(centres.withColumnsRenamed({"lat": "a", "lon": "b"})).where(geo.haversine_km(F.col("a"), F.col("b"), F.col("lat"), F.col("lon")) <= 20).select("centre", "page_id").collect()}
+    for name, value in (("BLOCK", 20), ("TASK_PAIRS", 2000)):
+        monkeypatch.setattr(geo, name, value, raising=False)
+    got = geo.near_many(centres, spots, 20.0).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.centre, r.page_id) for r in got} == want and len(got) == len(want) > 10_000
+    assert max(Counter(r.task for r in got).values()) < len(want) / 5
